@@ -36,11 +36,18 @@ def repaired(raw: Column | str) -> Column:
     return F.when(s.startswith('"Exception":'), closed)
 
 
+def strict_json(c: Column) -> Column:
+    """Text as VARIANT, null unless all of it is one JSON value (the parser alone ignores what follows)."""
+    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    more = F.try_variant_get(v, "$[1]", "variant")
+    return F.when(more.isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+
 def parse(raw: Column | str, repair: bool = False) -> Column:
     """Payload as VARIANT; null when it is not JSON even after scrubbing (and, if asked, repairing)."""
-    steps = [F.try_parse_json(strip(col(raw))), F.try_parse_json(scrubbed(raw))]
+    steps = [strict_json(strip(col(raw))), strict_json(scrubbed(raw))]
     if repair:
-        steps.append(F.try_parse_json(repaired(raw)))
+        steps.append(strict_json(repaired(raw)))
     return F.coalesce(*steps)
 
 

@@ -37,6 +37,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often `body` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column | str) -> Column:
     """Null-safe text."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
@@ -172,12 +177,9 @@ def technical_terms(message: Column | str) -> Column:
     """Type-like and identifier-like words, in pattern order, first spelling kept."""
     t = text(message)
     found = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)) for p in TERM_PATTERNS]))
-    long_enough = F.filter(found, lambda w: F.length(w) > 3)
-    lowered = F.transform(long_enough, lambda w: F.lower(w))
-    return F.filter(
-        F.transform(
-            long_enough,
-            lambda w, i: F.when(F.array_position(lowered, F.lower(w)) == (i + 1).cast("long"), w),
-        ),
-        lambda w: w.isNotNull(),
-    )
+
+    def distinct(words: Column) -> Column:
+        keyed = F.struct(words.alias("w"), F.transform(words, lambda w: F.lower(w)).alias("k"))
+        return let(keyed, lambda p: F.filter(p["w"], lambda w, i: F.array_position(p["k"], F.lower(w)) == (i + 1).cast("long")))
+
+    return let(F.filter(found, lambda w: F.length(w) > 3), distinct)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.text import SPACE, basename, col, present, strip, technical_terms, text
+from faultline.functions.text import SPACE, basename, col, let, present, strip, technical_terms, text
 
 # --- fixed values: frame patterns (language, pattern, group of file, line, method, namespace, package)
 _S = SPACE
@@ -26,6 +26,18 @@ def frame_patterns(compat: bool = False) -> list[tuple]:
 # --- end of fixed values --------------------------------------------------------------------------
 
 
+def _frame(language: str, pattern: str, file_g: int, line_g: int, method_g: int | None, ns_g: int | None, pkg_g: int | None):
+    """Frame struct out of the text of one match."""
+    def group(hit: Column, n: int | None) -> Column:
+        return F.lit(None).cast("string") if n is None else F.regexp_extract(hit, pattern, n)
+
+    return lambda hit: F.struct(
+        group(hit, file_g).alias("file_path"), group(hit, line_g).try_cast("int").alias("line_number"),
+        group(hit, method_g).alias("method_name"), group(hit, ns_g).alias("namespace"),
+        group(hit, pkg_g).alias("package"), F.lit(language).alias("language"),
+    )
+
+
 def stack_frames(trace: Column | str, compat: bool = False) -> Column:
     """Frames of a trace as ARRAY<STRUCT>: all formats, in format order, then in text order."""
     t = text(trace)
@@ -33,30 +45,20 @@ def stack_frames(trace: Column | str, compat: bool = False) -> Column:
     for language, pattern, file_g, line_g, method_g, ns_g, pkg_g in frame_patterns(compat):
         hits = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
 
-        def frame(hit: Column, language=language, pattern=pattern, groups=(file_g, line_g, method_g, ns_g, pkg_g)) -> Column:
-            def group(n: int | None) -> Column:
-                return F.lit(None).cast("string") if n is None else F.regexp_extract(hit, pattern, n)
-
-            f, ln, m, ns, pkg = groups
-            return F.struct(
-                group(f).alias("file_path"), group(ln).try_cast("int").alias("line_number"),
-                group(m).alias("method_name"), group(ns).alias("namespace"),
-                group(pkg).alias("package"), F.lit(language).alias("language"),
-            )
-
-        per_format.append(F.transform(hits, frame))
+        per_format.append(F.transform(hits, _frame(language, pattern, file_g, line_g, method_g, ns_g, pkg_g)))
     return F.concat(*per_format)
 
 
 def unique_frames(frames: Column | str) -> Column:
     """Frames with the first of every (file, line) kept."""
-    fr = col(frames)
-
     def key(f: Column) -> Column:
         return F.concat(text(f["file_path"]), F.lit(":"), F.coalesce(f["line_number"].cast("string"), F.lit("None")))
 
-    keys = F.transform(fr, key)
-    return F.filter(fr, lambda f, i: F.array_position(keys, key(f)) == (i + 1).cast("long"))
+    def distinct(fr: Column) -> Column:
+        keyed = F.struct(fr.alias("f"), F.transform(fr, key).alias("k"))
+        return let(keyed, lambda p: F.filter(p["f"], lambda f, i: F.array_position(p["k"], key(f)) == (i + 1).cast("long")))
+
+    return let(col(frames), distinct)
 
 
 def language(frames: Column | str) -> Column:
@@ -69,8 +71,6 @@ def trace_header(trace: Column | str) -> Column:
     Either `Type: message` with `Exception` on the left, or a line ending in Error/Exception whose next
     line, unless it is a frame, is the message. The line's own position is used to find the next line.
     """
-    lines = F.split(text(trace), "\n")
-
     def kind(line: Column) -> Column:
         s = strip(line)
         left = F.substring_index(s, ": ", 1)
@@ -78,19 +78,20 @@ def trace_header(trace: Column | str) -> Column:
             s.endswith("Error") | s.endswith("Exception"), 2
         ).otherwise(0)
 
-    kinds = F.transform(F.slice(lines, 1, 5), kind)
-    pos = F.array_position(F.transform(kinds, lambda k: k > 0), F.lit(True)).cast("int")
-    hit = strip(F.get(lines, pos - 1))
-    following = strip(F.get(lines, pos))
-    usable = (following != "") & ~following.startswith("at ") & ~following.startswith("File ")
-    first_kind = F.get(kinds, pos - 1)
-    split_at = F.instr(hit, ": ")
-    return F.struct(
-        F.when(first_kind == 1, strip(F.substring_index(hit, ": ", 1))).when(first_kind == 2, hit).alias("exception_type"),
-        F.when(first_kind == 1, strip(F.substring(hit, split_at + 2, F.length(hit))))
-        .when((first_kind == 2) & usable, following)
-        .alias("error_message"),
-    )
+    def read(lines: Column) -> Column:
+        return let(F.transform(F.slice(lines, 1, 5), kind), lambda kinds: header(lines, kinds))
+
+    def header(lines: Column, kinds: Column) -> Column:
+        pos = F.array_position(F.transform(kinds, lambda k: k > 0), F.lit(True)).cast("int")
+        hit, following, first_kind = strip(F.get(lines, pos - 1)), strip(F.get(lines, pos)), F.get(kinds, pos - 1)
+        usable = (following != "") & ~following.startswith("at ") & ~following.startswith("File ")
+        after = F.substring(hit, F.instr(hit, ": ") + 2, F.length(hit))
+        return F.struct(
+            F.when(first_kind == 1, strip(F.substring_index(hit, ": ", 1))).when(first_kind == 2, hit).alias("exception_type"),
+            F.when(first_kind == 1, strip(after)).when((first_kind == 2) & usable, following).alias("error_message"),
+        )
+
+    return let(F.split(text(trace), "\n"), read)
 
 
 def retrieval_query(frames: Column | str, header: Column | str) -> Column:

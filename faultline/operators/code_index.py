@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import text, traces
-from faultline.functions.text import SPACE
+from faultline.functions.text import SPACE, let
 from faultline.operators.grouping import first_per
 from faultline.session import cut
 
@@ -23,25 +23,28 @@ def chunk_array(content: Column, overlap: int = 0) -> Column:
     A chunk ends at a boundary line or after 100 lines. Each file is cut inside its own row: boundary
     lines give segments, long segments are cut every 100 lines; nothing is shuffled.
     """
-    lines = F.split(content, "\n")
-    total = F.size(lines)
-    numbered = F.sequence(F.lit(1), total)
-    closing = F.filter(numbered, lambda i: F.get(lines, i - 1).rlike(BOUNDARY))
-    ends = F.array_distinct(F.concat(closing, F.array(total)))
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    segments = F.arrays_zip(starts.alias("s"), ends.alias("e"))
-    pieces = F.flatten(F.transform(segments, lambda g: F.transform(
-        F.sequence(g["s"], g["e"], F.lit(CHUNK_LINES)),
-        lambda p: F.struct(
-            F.greatest(F.lit(1), p - overlap).alias("line_start"),
-            F.least(p + (CHUNK_LINES - 1), g["e"]).alias("line_end"),
-        ),
-    )))
-    filled = F.transform(pieces, lambda p: F.struct(
-        p["line_start"].alias("line_start"), p["line_end"].alias("line_end"),
-        F.array_join(F.slice(lines, p["line_start"], p["line_end"] - p["line_start"] + 1), "\n").alias("content"),
-    ))
-    return F.filter(filled, lambda c: c["content"].rlike(r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"))
+    def cut_up(lines: Column) -> Column:
+        total = F.size(lines)
+        closing = F.transform(lines, lambda s, i: F.when(s.rlike(BOUNDARY), i + 1))
+        ends = F.array_distinct(F.concat(F.array_compact(closing), F.array(total)))
+        return let(ends, lambda e: between(lines, e))
+
+    def between(lines: Column, ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda e: e + 1))
+        pieces = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda g: F.transform(
+            F.sequence(g["s"], g["e"], F.lit(CHUNK_LINES)),
+            lambda p: F.struct(
+                F.greatest(F.lit(1), p - overlap).alias("line_start"),
+                F.least(p + (CHUNK_LINES - 1), g["e"]).alias("line_end"),
+            ),
+        )))
+        filled = F.transform(pieces, lambda p: F.struct(
+            p["line_start"].alias("line_start"), p["line_end"].alias("line_end"),
+            F.array_join(F.slice(lines, p["line_start"], p["line_end"] - p["line_start"] + 1), "\n").alias("content"),
+        ))
+        return F.filter(filled, lambda c: c["content"].rlike(f"[^{SPACE[1:-1]}]"))
+
+    return let(F.split(content, "\n"), cut_up)
 
 
 def code_chunks(files: DataFrame, overlap: int = 0) -> DataFrame:

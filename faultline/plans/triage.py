@@ -126,7 +126,7 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
         said = cut(score_with_callable(asked, answer_fn or rule_answers, "prompt").drop("prompt"))
         scored = ready.join(said, "row_ord")
     usable = scoring.kb_usable(F.col("b_similarity"), F.col("b_resolution"))
-    checked = scored.withColumn("_a", F.try_parse_json("raw_answer")).withColumn("answer", scoring.validated(F.col("_a"), usable, F.col("b_similarity"))).drop("_a")
+    checked = scored.withColumn("_a", events.strict_json(F.col("raw_answer"))).withColumn("answer", scoring.validated(F.col("_a"), usable, F.col("b_similarity"))).drop("_a")
     d = F.col("d")
     row = {
         "id": F.col("Exception_ID"), "exception_type": d["exception_type"], "message": d["message"], "stack_trace": d["stack_trace"],
@@ -170,7 +170,7 @@ def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, em
         said = asked.drop("prompt").join(answers, "Exception_ID")
     else:
         said = score_with_callable(asked, answer_fn or rule_answers, "prompt").drop("prompt")
-    checked = said.withColumn("_a", F.try_parse_json("raw_answer"))
+    checked = said.withColumn("_a", events.strict_json(F.col("raw_answer")))
     fields = scoring.code_fields("raw_answer", F.col("_a"))
     checked = checked.withColumns({"answer": scoring.validated(F.col("_a"), F.lit(None).cast("string"), F.lit(0.0)), **fields}).drop("_a")
     confidence = scoring.code_confidence(F.col("answer.confidence"), "code_issue_found", "n_snippets", "suggested_fix")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.text import CONTROL, SPACE, col, present, strip, text
+from faultline.functions.text import CONTROL, SPACE, col, let, once, present, strip, text
 from faultline.schemas import PROCESS_NAME_KEYS
 
 # --- fixed values: fallback patterns for payloads that are not JSON -------------------------------
@@ -29,18 +29,20 @@ def scrubbed(raw: Column | str) -> Column:
 
 def repaired(raw: Column | str) -> Column:
     """Scrubbed payload with a missing opening brace and missing closing braces put back."""
-    s = strip(scrubbed(raw))
-    opened = F.concat(F.lit("{"), s)
-    missing = F.regexp_count(opened, F.lit("[{]")) - F.regexp_count(opened, F.lit("[}]"))
-    closed = F.concat(opened, F.repeat(F.lit("}"), F.greatest(F.lit(0), missing)))
-    return F.when(s.startswith('"Exception":'), closed)
+    def close(s: Column) -> Column:
+        opened = F.concat(F.lit("{"), s)
+        missing = F.regexp_count(opened, F.lit("[{]")) - F.regexp_count(opened, F.lit("[}]"))
+        return F.when(s.startswith('"Exception":'), F.concat(opened, F.repeat(F.lit("}"), F.greatest(F.lit(0), missing))))
+
+    return let(strip(scrubbed(raw)), close)
 
 
 def strict_json(c: Column) -> Column:
     """Text as VARIANT, null unless all of it is one JSON value (the parser alone ignores what follows)."""
-    v = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    more = F.try_variant_get(v, "$[1]", "variant")
-    return F.when(more.isNull(), F.try_variant_get(v, "$[0]", "variant"))
+    def only(v: Column) -> Column:
+        return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), only)
 
 
 def parse(raw: Column | str, repair: bool = False) -> Column:
@@ -51,6 +53,11 @@ def parse(raw: Column | str, repair: bool = False) -> Column:
     return F.coalesce(*steps)
 
 
+def with_payload(df: DataFrame, raw: str, out: str = "_v", repair: bool = False) -> DataFrame:
+    """Add the parsed payload, parsed once per row."""
+    return once(df, out, parse(raw, repair))
+
+
 def is_record(v: Column) -> Column:
     """True for a non-empty JSON object."""
     return F.coalesce(F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0, F.lit(False))

@@ -6,12 +6,13 @@ JVM shorthands are ASCII-only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: the documented patterns -------------------------------------------------------
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CONTROL = r"[\x00-\x1f\x7f-\x{9f}]"
 ERROR_INDICATOR = r"(?i)(ORA-\p{Nd}+|ERROR[:\t-\r\x1c-\x20\x{85}\p{Z}]*\p{Nd}+|Code[:\t-\r\x1c-\x20\x{85}\p{Z}]*\p{Nd}+)"
 HEX_ID = r"(?U)\b[0-9a-f]{8,}\b"
@@ -42,6 +43,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections must not compute again.
+
+    A generator is a boundary for the optimizer: a filter on the column stays above it, whereas a filter
+    on a projected expression would be pushed down with the whole expression copied into it.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def text(c: Column | str) -> Column:
     """Null-safe text."""
     return F.coalesce(col(c).cast("string"), F.lit(""))
@@ -54,7 +64,7 @@ def present(c: Column | str) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -11,7 +11,7 @@ from faultline.schemas import PROCESS_NAME_COLUMNS, RESOLUTIONS, SEVERITIES
 
 def flatten_event(df: DataFrame, raw: str = "EVENT_INFORMATION") -> DataFrame:
     """Add the five flattened payload columns; the payload is parsed once per row."""
-    parsed = df.withColumn("_v", events.parse(raw))
+    parsed = events.with_payload(df, raw)
     return parsed.withColumns(events.flat_columns(raw, F.col("_v"))).drop("_v")
 
 
@@ -27,7 +27,7 @@ def clean_exceptions(df: DataFrame, run_ts: str, module: str | None = None) -> D
             df = df.withColumnRenamed(name, "Process_Name")
     if "EVENT_INFORMATION" in df.columns:
         has_name = "Process_Name" in df.columns
-        df = df.withColumn("_v", events.parse("EVENT_INFORMATION"))
+        df = events.with_payload(df, "EVENT_INFORMATION")
         added = events.flat_columns("EVENT_INFORMATION", F.col("_v"))
         if not has_name:
             added["Process_Name"] = F.when(events.is_record(F.col("_v")), events.first_of_keys(F.col("_v"))).otherwise("Unknown")

@@ -26,8 +26,8 @@ def kb_normalize(df: DataFrame) -> DataFrame:
 
 def with_details(df: DataFrame) -> DataFrame:
     """Add the struct `d` of six fields from the payload, repaired or picked by pattern if need be."""
-    parsed = df.withColumn("_v", events.parse("EVENT_INFORMATION", repair=True))
-    return parsed.withColumn("d", events.details_or_fallback("EVENT_INFORMATION", F.col("_v"))).drop("_v")
+    parsed = events.with_payload(df, "EVENT_INFORMATION", repair=True)
+    return text.once(parsed, "d", events.details_or_fallback("EVENT_INFORMATION", F.col("_v"))).drop("_v")
 
 
 def admitted() -> Column:

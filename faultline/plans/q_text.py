@@ -112,7 +112,7 @@ _DETAILS_SQL = ", ".join(f"{q.detail(n)} AS d_{n}" for n in events.DETAIL_FIELDS
 
 @query("flatten_event", with_views("log").rstrip() + ", " + q.parsed("log", "payload", False) + f" SELECT event_id, {_FLAT_SQL}, {_DETAILS_SQL} FROM p")
 def _(spark, sf):
-    rows = view(spark, sf, "log").select("event_id", "payload").withColumn("_v", events.parse("payload"))
+    rows = events.with_payload(view(spark, sf, "log").select("event_id", "payload"), "payload")
     v = F.col("_v")
     return rows.withColumns(events.flat_columns("payload", v)).select(
         "event_id", *_FLAT, *[c.alias(f"d_{n}") for n, c in events.details(v).items()]
@@ -122,13 +122,13 @@ def _(spark, sf):
 @query("first_of_keys", with_views("log").rstrip() + ", " + q.parsed("log", "payload", False) + " SELECT event_id, coalesce(" + ", ".join(
     f"nullif({q.strip(q.js('j', k))}, '')" for k in ("Process Name", "PRCS_NAME", "process_name", "ProcessName")) + ", 'Unknown') AS process_name FROM p")
 def _(spark, sf):
-    rows = view(spark, sf, "log").select("event_id", events.parse("payload").alias("_v"))
+    rows = events.with_payload(view(spark, sf, "log").select("event_id", "payload"), "payload")
     return rows.select("event_id", events.first_of_keys(F.col("_v")).alias("process_name"))
 
 
 @query("json_repair", with_views("log").rstrip() + ", " + q.parsed("log", "payload", True) + f" SELECT event_id, j IS NOT NULL AS readable, {q.js('j', 'Exception', 'Exception Type')} AS exception_type FROM p")
 def _(spark, sf):
-    rows = view(spark, sf, "log").select("event_id", events.parse("payload", repair=True).alias("_v"))
+    rows = events.with_payload(view(spark, sf, "log").select("event_id", "payload"), "payload", repair=True)
     return rows.select("event_id", F.col("_v").isNotNull().alias("readable"), events.field(F.col("_v"), "Exception", "Exception Type").alias("exception_type"))
 
 

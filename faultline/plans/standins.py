@@ -162,6 +162,20 @@ SELECT c_custkey AS row_ord,
 FROM {customer}
 """
 
+# messages already known, from orders: some equal to, some close to, some far from the log's
+KBMSG = """
+SELECT o_orderkey AS row_ord, 'KB' || o_orderkey AS Exception_ID,
+  CASE o_custkey % 6 WHEN 0 THEN 'System.NullReferenceException' WHEN 1 THEN 'System.Data.SqlClient.SqlException'
+    WHEN 2 THEN 'java.util.concurrent.TimeoutException' WHEN 3 THEN 'ValueError' WHEN 4 THEN 'System.InvalidOperationException'
+    ELSE 'Upstream Timeout Exception' END AS Exception_Type,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Deadlock found by session ' || o_custkey
+    WHEN 1 THEN 'Timeout after ' || o_custkey || ' ms calling billing_api for some user' || o_custkey || '@mail.example'
+    WHEN 2 THEN 'Payload rejected by SchemaValidator ' || o_custkey
+    ELSE 'Disk ' || o_orderpriority || ' is almost full' END AS Exception_Message,
+  CASE o_custkey % 3 WHEN 1 THEN 'E' || (o_custkey % 4) WHEN 2 THEN CAST(70 + o_custkey % 5 AS STRING) ELSE '' END AS Error_Code
+FROM {orders}
+"""
+
 # a finished run
 RESULTS = f"""
 SELECT event_id AS row_ord, 'X' || (user_id * 100 + k) AS Exception_ID, module AS Selected_Module,
@@ -253,7 +267,7 @@ FROM {embeddings} a LEFT JOIN {embeddings} b ON b.vec_id = a.vec_id + 1
 """
 
 _VIEWS = {
-    "log": LOG, "exc": EXC, "msg": MSG, "kbfile": KBFILE, "kbnew": KBNEW, "results": RESULTS,
+    "log": LOG, "exc": EXC, "msg": MSG, "kbfile": KBFILE, "kbnew": KBNEW, "kbmsg": KBMSG, "results": RESULTS,
     "queue": QUEUE, "decisions": DECISIONS, "answers": ANSWERS, "audit": AUDIT_LOG, "code": CODE,
     "manifest": MANIFEST, "kbvec": KBVEC, "paired": _PAIRED,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions import events, scoring, traces
+from faultline.functions import events, scoring, text, traces
 from faultline.operators import clean, code_index, context, grouping, kb as kb_ops, neardup, vectors
 from faultline.schemas import RESULT_COLUMNS
 from faultline.session import cut, dense_number
@@ -101,7 +101,7 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
     given; `kb` holds entries with `kb_id` and `embedding`.
     """
     featured = clean.features(reps)
-    parsed = featured.withColumn("_v", events.parse("EVENT_INFORMATION"))
+    parsed = events.with_payload(featured, "EVENT_INFORMATION")
     good = events.details(F.col("_v"))
     own = {
         "exception_type": F.col("Features.exception_type"), "message": F.col("Features.message"), "stack_trace": F.col("Features.stack_trace"),
@@ -109,7 +109,7 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
     }
     ok = events.is_record(F.col("_v"))
     base = parsed.withColumn("d", F.struct(*[F.when(ok, good[n]).otherwise(own[n]).alias(n) for n in events.DETAIL_FIELDS])).drop("_v")
-    base = base.withColumn("_search", kb_ops.search_text(F.col("d")))
+    base = text.once(base, "_search", kb_ops.search_text(F.col("d")))
     wanted = base.filter(F.col("_search").isNotNull()).select(F.col("row_ord").alias("q_id"), F.lit(module).alias("module"), "_search")
     queries = embedder.transform(wanted, "_search", "vec").select("q_id", "module", "vec")
     hits = cut(vectors.cross_module(queries, kb))
@@ -126,7 +126,7 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
         said = cut(score_with_callable(asked, answer_fn or rule_answers, "prompt").drop("prompt"))
         scored = ready.join(said, "row_ord")
     usable = scoring.kb_usable(F.col("b_similarity"), F.col("b_resolution"))
-    checked = scored.withColumn("_a", events.strict_json(F.col("raw_answer"))).withColumn("answer", scoring.validated(F.col("_a"), usable, F.col("b_similarity"))).drop("_a")
+    checked = text.once(scored, "_a", events.strict_json(F.col("raw_answer"))).withColumn("answer", scoring.validated(F.col("_a"), usable, F.col("b_similarity"))).drop("_a")
     d = F.col("d")
     row = {
         "id": F.col("Exception_ID"), "exception_type": d["exception_type"], "message": d["message"], "stack_trace": d["stack_trace"],
@@ -170,7 +170,7 @@ def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, em
         said = asked.drop("prompt").join(answers, "Exception_ID")
     else:
         said = score_with_callable(asked, answer_fn or rule_answers, "prompt").drop("prompt")
-    checked = said.withColumn("_a", events.strict_json(F.col("raw_answer")))
+    checked = text.once(said, "_a", events.strict_json(F.col("raw_answer")))
     fields = scoring.code_fields("raw_answer", F.col("_a"))
     checked = checked.withColumns({"answer": scoring.validated(F.col("_a"), F.lit(None).cast("string"), F.lit(0.0)), **fields}).drop("_a")
     confidence = scoring.code_confidence(F.col("answer.confidence"), "code_issue_found", "n_snippets", "suggested_fix")

@@ -159,15 +159,14 @@ def line_to_chunk(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def direct_snippets(frames: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks hit by the frames of each exception, in frame order."""
-    frames = frames.withColumnRenamed("file_path", "frame_path")
-    located = frames.join(frame_to_file(frames.withColumnRenamed("frame_path", "file_path"), files), "frame_path")
-    place = located.select("file_path", "line_number").distinct()
-    chunk = line_to_chunk(place, chunks).select("file_path", F.col("line_number").alias("_line"), "chunk_index", "line_start", "line_end", "content")
-    on = [located["file_path"] == chunk["file_path"], F.col("line_number").eqNullSafe(F.col("_line"))]
-    return located.join(chunk, on).select(
-        "Exception_ID", "frame_no", located["file_path"].alias("file_path"), F.col("line_number").alias("target_line"),
-        "chunk_index", "line_start", "line_end", "content",
+    paths = frame_to_file(frames, files).withColumnRenamed("file_path", "hit_path")
+    located = frames.withColumnRenamed("file_path", "frame_path").join(paths, "frame_path").select(
+        "Exception_ID", "frame_no", "hit_path", F.col("line_number").alias("target_line")
     )
+    place = located.select(F.col("hit_path").alias("file_path"), F.col("target_line").alias("line_number"))
+    chunk = line_to_chunk(place, chunks).select("file_path", F.col("line_number").alias("_line"), "chunk_index", "line_start", "line_end", "content")
+    on = (F.col("hit_path") == F.col("file_path")) & F.col("target_line").eqNullSafe(F.col("_line"))
+    return located.join(chunk, on).drop("hit_path", "_line")
 
 
 def snippets(direct: DataFrame, semantic: DataFrame, k: int = 5) -> DataFrame:

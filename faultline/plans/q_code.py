@@ -11,7 +11,7 @@ from faultline.plans import checksql as q
 from faultline.plans.q_text import FRAMES_SQL
 from faultline.plans.registry import query
 from faultline.plans.standins import sql_view, view, with_views
-from faultline.session import cut
+from faultline.session import cut, saved
 
 INDEXED_AT = "2024-02-01 00:00:00"
 
@@ -64,7 +64,7 @@ pk AS (SELECT wl.file_path, wl.line_number, coalesce((SELECT min(chunk_index) FR
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    return code_index.exploded_frames(view(spark, sf, "exc").select("row_ord", "Exception_ID", "Stack_Trace"))
+    return saved(code_index.exploded_frames(view(spark, sf, "exc").select("row_ord", "Exception_ID", "Stack_Trace")))
 
 
 @query("frame_to_file", _LOCATED + "SELECT * FROM ff")
@@ -74,8 +74,8 @@ def _(spark, sf):
 
 @query("line_to_chunk", _LOCATED + "SELECT pk.file_path, pk.line_number, pk.chunk_index, ck.line_start, ck.line_end FROM pk JOIN ck ON ck.file_path = pk.file_path AND ck.chunk_index = pk.chunk_index")
 def _(spark, sf):
-    fr = frames(spark, sf).withColumnRenamed("file_path", "frame_path")
-    located = fr.join(code_index.frame_to_file(frames(spark, sf), view(spark, sf, "code")), "frame_path")
+    fr = frames(spark, sf)
+    located = fr.withColumnRenamed("file_path", "frame_path").join(code_index.frame_to_file(fr, view(spark, sf, "code")), "frame_path")
     out = code_index.line_to_chunk(located.select("file_path", "line_number"), chunks(spark, sf))
     return out.select("file_path", "line_number", "chunk_index", "line_start", "line_end")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.session import spread
+
 _BASE = """
 SELECT event_id, substr(CAST(ts AS STRING), 1, 19) AS logtime, user_id, value, event_type,
        CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k
@@ -275,7 +277,7 @@ _TABLES = ["events", "documents", "orders", "customer", "labels", "embeddings"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

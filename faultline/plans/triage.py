@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from faultline.functions import events, scoring, text, traces
 from faultline.operators import clean, code_index, context, grouping, kb as kb_ops, neardup, vectors
 from faultline.schemas import RESULT_COLUMNS
-from faultline.session import cut, dense_number
+from faultline.session import cut, dense_number, saved
 
 
 def score_with_callable(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str, out: str = "raw_answer") -> DataFrame:
@@ -88,9 +88,9 @@ def with_row_order(df: DataFrame) -> DataFrame:
 
 def representative_table(log: DataFrame, run_ts: str, module: str) -> tuple[DataFrame, DataFrame]:
     """(representatives, bridge of group to exception id) of a raw log."""
-    cleaned = with_row_order(clean.clean_exceptions(log, run_ts, module))
-    grouped = neardup.near_dup_groups(cleaned)
-    reps = grouping.representatives(grouped).withColumn("group_ord", F.col("group_ord"))
+    cleaned = saved(with_row_order(clean.clean_exceptions(log, run_ts, module)))
+    grouped = saved(neardup.near_dup_groups(cleaned))
+    reps = grouping.representatives(grouped)
     return reps, grouped.select("Dedup_Group_ID", "Exception_ID")
 
 
@@ -154,7 +154,7 @@ def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, em
 
     `files` = (file_path, file_ord); `chunks` come from `code_index.indexed`.
     """
-    frames = code_index.exploded_frames(exceptions.select("Exception_ID", "Stack_Trace"))
+    frames = saved(code_index.exploded_frames(exceptions.select("Exception_ID", "Stack_Trace")))
     direct = cut(code_index.direct_snippets(frames, files, chunks))
     queries = embedder.transform(exceptions.select(F.col("Exception_ID").alias("q_id"), "Stack_Trace"), "Stack_Trace", "vec").select("q_id", "vec")
     hits = vectors.code_topk(queries, chunks.select("kb_id", "embedding"), top_k)

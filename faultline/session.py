@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, row_bytes: int, rows: int) -> DataFrame:
-    """Hint `df` as broadcast only when `rows * row_bytes` is under the limit; otherwise shuffle it."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
+def saved(df: DataFrame) -> DataFrame:
+    """Write `df` once as a table in the shared folder and read it from there.
+
+    Like `cut`, but later steps read only the columns they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that arrives in fewer pieces than there are cores (small files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def dense_number(df: DataFrame, order_by: list[str], out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,7 @@ def scan_code(spark: SparkSession, root: str) -> DataFrame:
     extension = F.regexp_extract("file_path", r"[^/](\.[^./]+)$", 1)
     skip = F.array(*[F.lit(s) for s in SKIPPED_FOLDERS])
     kept = named.filter(F.lower(extension).isin(*CODE_EXTENSIONS) & ~F.arrays_overlap(folders, skip))
-    text = F.regexp_replace(F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")), "\r\n?", "\n")
+    text = F.regexp_replace(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")), "\r\n?", "\n")
     out = kept.select(
         "file_path", F.col("_plain").alias("full_path"), extension.alias("file_extension"),
         F.col("modificationTime").cast("double").alias("mtime"), text.alias("content"),
@@ -81,13 +81,18 @@ def write_results(results: DataFrame, folder: str, run_id: str, fmt: str = "parq
     """Results of one run below `folder`, one sub-folder per run; writing a run again replaces it."""
     writer = results.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(folder)
+        _csv(writer).csv(folder)
     else:
         writer.parquet(folder)
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
+    _csv(df.write.mode("overwrite")).csv(folder)
+
+
+def _csv(writer: DataFrameWriter) -> DataFrameWriter:
+    """Header, doubled quotes, blanks at the ends of a cell kept."""
+    return writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def module_extract(results: DataFrame, module: str, folder: str) -> None:

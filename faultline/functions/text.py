@@ -52,6 +52,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def unroll(df: DataFrame, keep: list, array: Column, pos: str, item: str) -> DataFrame:
+    """One row per array element. For a plain explode the optimizer adds a filter that computes the whole
+    array a second time; the outer form followed by a filter on the position computes it once."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def text(c: Column | str) -> Column:
     """Null-safe text."""
     return F.coalesce(col(c).cast("string"), F.lit(""))

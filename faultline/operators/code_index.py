@@ -50,7 +50,7 @@ def chunk_array(content: Column, overlap: int = 0) -> Column:
 def code_chunks(files: DataFrame, overlap: int = 0) -> DataFrame:
     """One row per chunk of `files` (file_path, content, ...); empty files give none."""
     rest = [c for c in files.columns if c != "content"]
-    return files.select(*rest, F.posexplode(chunk_array(F.col("content"), overlap)).alias("chunk_index", "c")).select(
+    return text.unroll(files, rest, chunk_array(F.col("content"), overlap), "chunk_index", "c").select(
         *rest, "chunk_index", F.col("c.line_start").alias("line_start"), F.col("c.line_end").alias("line_end"), F.col("c.content").alias("content")
     )
 
@@ -96,9 +96,9 @@ def replace_chunks(stored: DataFrame, changed: DataFrame, fresh: DataFrame) -> D
 
 def exploded_frames(df: DataFrame, trace: str = "Stack_Trace", compat: bool = False) -> DataFrame:
     """One row per unique frame of every trace, `frame_no` in order."""
-    with_frames = df.withColumn("_f", traces.unique_frames(traces.stack_frames(trace, compat)))
     rest = [c for c in df.columns if c != trace]
-    return with_frames.select(*rest, F.posexplode("_f").alias("frame_no", "f")).select(*rest, "frame_no", "f.*")
+    frames = traces.unique_frames(traces.stack_frames(trace, compat))
+    return text.unroll(df, rest, frames, "frame_no", "f").select(*rest, "frame_no", "f.*")
 
 
 def _windows(c: Column, n: int) -> Column:
@@ -119,7 +119,7 @@ def frame_to_file(frames: DataFrame, files: DataFrame) -> DataFrame:
     hay = files.select("file_path", "file_ord", F.lower("file_path").alias("_hay"))
     sizes = range(1, GRAM + 1)
     grams = F.concat(*[F.when(F.length("_hay") >= n, _windows(F.col("_hay"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
-    file_grams = hay.select("file_path", "file_ord", "_hay", F.explode(grams).alias("gram"))
+    file_grams = text.unroll(hay, ["file_path", "file_ord", "_hay"], grams, "_at", "gram").drop("_at")
     spread = file_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
     mine = paths.select("frame_path", "_needle", F.size(_windows_of("_needle", "_n")).alias("n_grams"), F.explode(_windows_of("_needle", "_n")).alias("gram"))
     known = mine.join(spread, "gram")

@@ -116,7 +116,11 @@ def knn_join(queries: DataFrame, kb: DataFrame, k: int = MAX_K, metric: str = "l
     vec_type = q.schema["vec"].dataType.simpleString()
     packed = q.mapInPandas(_pack(["mkey"]), f"mkey string, q_ids array<{id_type}>, q_mat {vec_type}")
     spread = packed.join(sizes, "mkey").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
-    met = spread.join(F.broadcast(blocks) if fits else blocks, ["mkey", "blk"])
+    if fits:
+        blocks = F.broadcast(blocks)
+    else:  # a fixed number of tasks: the work per byte is too high for partitions merged by size
+        spread = spread.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mkey", "blk")
+    met = spread.join(blocks, ["mkey", "blk"])
     hits = met.select("q_ids", "q_mat", "k_ids", "k_modules", "k_mat").mapInPandas(
         _score([], k, metric, per_module), f"q_id {id_type}, module string, kb_id {kb_type}, distance double"
     )

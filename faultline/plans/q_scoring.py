@@ -181,7 +181,12 @@ def _(spark, sf):
     return e.select(*[c.alias(name) for name, c in result_columns(row, best, F.col("answer"), error, "Payment").items()])
 
 
-@query("prompt_table")
+_ASK = ("Decide how to resolve this exception. Answer with one JSON object holding the keys Resolution, Root_Cause, Reasoning, Suggested_Action, Confidence and "
+        "Similar_Patterns. Resolution is PURGE, REPROCESS or INVESTIGATE; Confidence is a whole number from 0 to 100. A knowledge-base match of 70% or more decides the Resolution.")
+
+
+@query("prompt_table", with_views("exc") + f"""SELECT row_ord, concat_ws(chr(10), '{_ASK}', 'Type: ' || coalesce(Exception_Type, ''), 'Message: ' || Exception_Message, 'Inner type: ' || Inner_Type,
+'Inner message: ' || Inner_Message, 'Error code: ' || Error_Code, 'Stack trace: ' || Stack_Trace, 'Knowledge base:', 'none') AS prompt FROM exc""")
 def _(spark, sf):
     e = view(spark, sf, "exc")
     d = F.struct(F.col("Exception_Type").alias("exception_type"), F.col("Exception_Message").alias("message"), F.col("Inner_Type").alias("inner_exception_type"),

@@ -109,9 +109,9 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
     }
     ok = events.is_record(F.col("_v"))
     base = parsed.withColumn("d", F.struct(*[F.when(ok, good[n]).otherwise(own[n]).alias(n) for n in events.DETAIL_FIELDS])).drop("_v")
-    base = text.once(base, "_search", kb_ops.search_text(F.col("d")))
+    base = saved(text.once(base, "_search", kb_ops.search_text(F.col("d"))))
     wanted = base.filter(F.col("_search").isNotNull()).select(F.col("row_ord").alias("q_id"), F.lit(module).alias("module"), "_search")
-    queries = embedder.transform(wanted, "_search", "vec").select("q_id", "module", "vec")
+    queries = saved(embedder.transform(wanted, "_search", "vec").select("q_id", "module", "vec"))
     hits = cut(vectors.cross_module(queries, kb))
     about = kb.select("kb_id", F.col("resolution").alias("b_resolution"), F.col("root_cause").alias("b_root_cause"), F.col("action").alias("b_action"))
     top = vectors.best_match(hits).select("q_id", "kb_id", F.col("similarity").alias("b_similarity")).join(about, "kb_id").drop("kb_id")

@@ -27,6 +27,7 @@ LAST_ACTION = "Review and determine appropriate action"
 KB_BANDS = [(0.95, 95), (0.90, 88), (0.85, 78), (0.80, 68), (0.75, 58)]
 KB_FLOORS = [(0.95, 90), (0.85, 80), (0.70, 70)]
 WITH_KB, WITHOUT_KB = (0.4, 0.6), (0.8, 0.2)
+WITH_CODE = (0.3, 0.4, 0.3)
 # --- end of fixed values --------------------------------------------------------------------------
 
 
@@ -190,6 +191,12 @@ def blended_confidence(model: Column | str, kb: Column | str, has_cases: Column)
     return F.when(has_cases, with_kb).otherwise(without).cast("int")
 
 
+def blended_with_code(model: Column | str, kb: Column | str, code: Column | str) -> Column:
+    """Optional blend of model, knowledge-base and code confidence."""
+    parts = [col(c).cast("double") * w for c, w in zip((model, kb, code), WITH_CODE)]
+    return (parts[0] + parts[1] + parts[2]).cast("int")
+
+
 def analysis_type(kb_conf: Column | str) -> Column:
     return F.when(col(kb_conf) < HIGH_CONFIDENCE, "deep_constructive").otherwise("constructive")
 

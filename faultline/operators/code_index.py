@@ -117,8 +117,8 @@ def frame_to_file(frames: DataFrame, files: DataFrame) -> DataFrame:
     needle = F.lower(F.replace("frame_path", F.lit("\\"), F.lit("/")))
     paths = paths.withColumn("_needle", needle).withColumn("_n", F.least(F.length("_needle"), F.lit(GRAM)))
     hay = files.select("file_path", "file_ord", F.lower("file_path").alias("_hay"))
-    sizes = range(1, GRAM + 1)
-    grams = F.concat(*[F.when(F.length("_hay") >= n, _windows(F.col("_hay"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
+    sizes = sorted(r[0] for r in paths.select("_n").distinct().collect())  # at most GRAM numbers
+    grams = F.concat(F.array().cast("array<string>"), *[F.when(F.length("_hay") >= n, _windows(F.col("_hay"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
     file_grams = text.unroll(hay, ["file_path", "file_ord", "_hay"], grams, "_at", "gram").drop("_at")
     spread = file_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
     mine = paths.select("frame_path", "_needle", F.size(_windows_of("_needle", "_n")).alias("n_grams"), F.explode(_windows_of("_needle", "_n")).alias("gram"))

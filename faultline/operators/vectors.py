@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from faultline.operators.grouping import first_per
 from faultline.schemas import GOOD_MATCH
@@ -57,7 +56,7 @@ def _pack(keys: list[str]):
     return run
 
 
-def _score(keys: list[str], k: int, metric: str, per_module: bool):
+def _score(k: int, metric: str, per_module: bool):
     """One meeting: the k nearest entries of every query, per entry module if asked."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -72,7 +71,11 @@ def _score(keys: list[str], k: int, metric: str, per_module: bool):
                     some = q[start:start + 512]
                     dots = some @ e.T
                     qq, ee = (some * some).sum(axis=1)[:, None], (e * e).sum(axis=1)[None, :]
-                    d = qq + ee - 2 * dots if metric == "l2" else 1 - dots / np.sqrt(qq * ee)
+                    if metric == "l2":
+                        d = qq + ee - 2 * dots
+                    else:  # an empty vector is similar to nothing
+                        norm = np.sqrt(qq * ee)
+                        d = 1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
                     d = np.round(np.maximum(d, 0.0), _DIGITS)
                     for g in groups:
                         dg, n = d[:, g], min(k, len(g))
@@ -122,7 +125,7 @@ def knn_join(queries: DataFrame, kb: DataFrame, k: int = MAX_K, metric: str = "l
         spread = spread.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mkey", "blk")
     met = spread.join(blocks, ["mkey", "blk"])
     hits = met.select("q_ids", "q_mat", "k_ids", "k_modules", "k_mat").mapInPandas(
-        _score([], k, metric, per_module), f"q_id {id_type}, module string, kb_id {kb_type}, distance double"
+        _score(k, metric, per_module), f"q_id {id_type}, module string, kb_id {kb_type}, distance double"
     )
     keys = ["q_id", "module"] if per_module else ["q_id"]
     return first_per(hits, keys, ["distance", "kb_id"], k, rank="rank").withColumn("similarity", similarity(F.col("distance")))

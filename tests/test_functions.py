@@ -78,6 +78,10 @@ def test_kb_confidence_bands(spark, sim, want):
     assert one(spark, scoring.kb_confidence("s"), s=sim) == want
 
 
+def test_blend_with_code(spark):
+    assert one(spark, scoring.blended_with_code("a", "b", "c"), a=80.0, b=90.0, c=50.0) == 75
+
+
 def test_no_match_is_confidence_zero(spark):
     df = spark.createDataFrame([(None,)], "s double")
     assert df.select(scoring.kb_confidence("s").alias("x")).first().x == 0

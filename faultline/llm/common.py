@@ -35,3 +35,35 @@ def numbered(df: DataFrame, groups: list[str], spread: str, order_by: list[str],
     offsets = sliced.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy(*by).orderBy(spread, *order_by)) - 1
     return sliced.withColumn("_in", inside).join(offsets, by).withColumn(out, F.col("_before") + F.col("_in")).drop("_slice", "_before", "_in")
+
+
+class Memo(dict):
+    """A function's values by argument; `map(memo.__getitem__, items)` fills it. Call `trim` between batches."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def trim(self, most: int = 300_000) -> None:
+        if len(self) > most:
+            self.clear()
+
+
+def key_of_row() -> dict[str, Column]:
+    """A row's identity for joining decisions back: its id and a digest of its text (nulls told apart)."""
+    return {"_key_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_key_text": F.coalesce(F.xxhash64("text"), F.lit(0))}
+
+
+def sized_join(rows: DataFrame, keys: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """Semi or anti join of documents with (`_key_id`, `_key_text`); the texts stay in place if the keys are few.
+
+    The keys are counted: up to `most` (some 30 MB) they are sent to all tasks, beyond that both sides are shuffled.
+    """
+    keys = keys.select("_key_id", "_key_text")
+    if keys.limit(most + 1).count() <= most:
+        keys = F.broadcast(keys)
+    return rows.withColumns(key_of_row()).join(keys, ["_key_id", "_key_text"], how).drop("_key_id", "_key_text")

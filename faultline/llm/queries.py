@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, sharding
+from faultline.llm import mixing, sharding, simhash
 from faultline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op5_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
 
 
+@query
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op9_shards(spark, sf_dir):
     return sharding.shard(_docs(spark, sf_dir), 8)

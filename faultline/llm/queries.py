@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import mixing, sharding, simhash
+from faultline.llm import contamination, mixing, sharding, simhash
 from faultline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +30,31 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mix(spark, sf_dir):
     mixed = mixing.mix(_docs(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source")
+
+
+CHECKS["op5_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u,
+    length(regexp_replace(text, '[^\pL ]', '', 'g')) * 1.0::DOUBLE / greatest(length(text), 1) AS share FROM documents),
+k AS (SELECT doc_id, source, size, round(-ln(u) / round(coalesce(1 + 2 * share * share, 1.0), 6), 12) AS key FROM d),
+s AS (SELECT source, sum(size)::DOUBLE AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place FROM k GROUP BY source),
+w AS (SELECT source, total, [3.0, 1.0, 2.0][place + 1]::DOUBLE AS weight, 2 * total AS cap FROM s),
+l AS (SELECT *, cap / weight AS ratio, (1.5 * sum(total) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT source, total, coalesce(least(cap, (SELECT level FROM v) * weight), cap) AS target FROM w),
+e AS (SELECT *, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END AS epochs FROM t),
+r AS (SELECT k.*, total, target, epochs, target - epochs * total AS rest, sum(size) OVER (PARTITION BY k.source ORDER BY key) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+g AS (SELECT source, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS gap FROM r GROUP BY source),
+x AS (SELECT r.source, arg_min(key, struct_pack(a := abs(size - gap), b := key)) AS extra FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source
+  WHERE upto > rest AND abs(size - gap) < gap GROUP BY r.source),
+c AS (SELECT r.*, CAST(epochs + CASE WHEN upto <= rest AND (rest > 0 OR size = 0 AND upto = 0 AND total > 0) OR key = extra THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM r LEFT JOIN x ON r.source IS NOT DISTINCT FROM x.source)
+SELECT doc_id, size, CAST(total AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken, source FROM c
+"""
 
 
 @query
@@ -38,6 +62,36 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op8_contamination(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.contamination(contamination.build_index(_docs(spark, sf_dir)), benchmark)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        contamination.items_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
+#: Words, windows, occurrences by a join on the whole window, and the words inside any occurrence.
+CHECKS["op8_contamination"] = r"""
+WITH words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+items AS (
+  SELECT DISTINCT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+sized AS (SELECT *, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n),
+found AS (SELECT q.doc_id, q.i, q.n, v.item_id FROM places q JOIN windows v ON v.n = q.n AND v.p = array_to_string(q.w[q.i : q.i + q.n - 1], ' ')),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 @query
 def op9_shards(spark, sf_dir):
     return sharding.shard(_docs(spark, sf_dir), 8)

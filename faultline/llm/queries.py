@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, mixing, sharding, simhash
+from faultline.llm import contamination, mixing, sharding, simhash, tokenfiles
+from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,12 @@ def op5_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source")
 
 
+@query
+def op4_token_files(spark, sf_dir):
+    path = tokenfiles.write_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return tokenfiles.read_files(spark, path, digest_only=True)
+
+
 CHECKS["op5_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

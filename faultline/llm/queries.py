@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, mixing, sharding, simhash, tokenfiles
+from faultline.llm import contamination, langcrf, mixing, sharding, simhash, tokenfiles
+from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
 
@@ -34,6 +35,14 @@ def op5_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source")
 
 
+@query
+def op2_language(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    field = langcrf.learn(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = langcrf.identify(spark, docs.select("doc_id", "text"), field)
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_token_files(spark, sf_dir):
     path = tokenfiles.write_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))

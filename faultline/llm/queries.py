@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, langcrf, mixing, sharding, simhash, tokenfiles
+from faultline.llm import contamination, langcrf, mixing, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
@@ -78,6 +78,15 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(_docs(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op7_toxicity(spark, sf_dir):
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    net = toxgru.learn(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    found = toxgru.score(spark, docs.select("doc_id", "text"), net)
+    return found.select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxgru.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query
 def op8_contamination(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, langcrf, mixing, sharding, simhash, tokenfiles, toxgru
+from faultline.llm import contamination, langcrf, maintext, mixing, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
@@ -120,3 +120,9 @@ FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 @query
 def op9_shards(spark, sf_dir):
     return sharding.shard(_docs(spark, sf_dir), 8)
+
+
+@query
+def op10_main_text(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return maintext.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, langcrf, maintext, mixing, sharding, simhash, tokenfiles, toxgru
+from faultline.llm import contamination, langcrf, lmscore, maintext, mixing, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
@@ -43,6 +43,13 @@ def op2_language(spark, sf_dir):
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_lm(spark, sf_dir):
+    held_out = fold(F.col("doc_id"), 5) == 1
+    found = lmscore.score(spark, _docs(spark, sf_dir), ~held_out, tokenizer_path("byte_bpe_50k.json"))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op4_token_files(spark, sf_dir):
     path = tokenfiles.write_files(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import array
 import os
-import re
 
+import regex
 from tokenizers import Tokenizer
 
-#: A place where a text may be cut without changing ids: no token holds white space after anything else.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+from faultline.llm.common import Memo
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,42 +17,56 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# fixed values of byte-level vocabularies: how a text falls into runs that are encoded alone, and the letters that stand for bytes
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+# end of fixed values
+_LETTER = dict(zip((b for b in range(256) if b not in _PLAIN), map(chr, range(256, 512))))
+
+
 class Subwords:
-    """Byte-level ids (below 65,536) of whole texts, as little-endian 16-bit integers.
+    """Byte-level ids (below 65,536) of whole texts, as little-endian 16-bit integers, by the tokenizer's own model.
 
-    Words repeat, so a text is cut at single spaces and each piece is encoded once. A text with other white
-    space next to a space is cut at fewer places. `most` bounds the pieces kept.
+    A text is cut at single spaces between other characters, where no run of the tokenizer crosses. Words repeat,
+    so the ids of a piece, and of the runs in it, are looked up if they were met before. A text with other white space
+    next to a space falls into runs as a whole. `most` bounds the pieces kept.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.model, self.most = Tokenizer.from_file(path).model, most
+        self.runs = Memo(self._run)
+        self.pieces = Memo(self._piece)
+        self.words = Memo(lambda w: self._runs_in(" " + w.decode("utf-8", "replace")))
+
+    def _run(self, run: str) -> bytes:
+        letters = run.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTER)
+        return array.array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _runs_in(self, text: str) -> bytes:
+        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.strip() != piece or not piece:
+            raise KeyError(piece)
+        return self._runs_in(" " + piece)
 
-    def _direct(self, pieces: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(2, "little") for i in e.ids) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def trim(self) -> None:
+        self.runs.trim(self.most)
+        self.pieces.trim(self.most)
+        self.words.trim(self.most)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        new = set()
-        for pieces in cut:
-            new.update(pieces[1:])
-        if len(self.known) + len(new) > self.most + 50_000:
-            self.known.clear()
-        new = [p for p in new if p not in self.known]
-        plain = [p for p in new if p and p.strip() == p]
-        self.known.update(zip(plain, self._direct([" " + p for p in plain])))
-        firsts = self._direct([pieces[0] for pieces in cut])
         out = []
-        for text, pieces, first in zip(texts, cut, firsts):
+        for text in texts:
+            first, *rest = text.split(" ")
             try:
-                if pieces[0] and pieces[0].strip() != pieces[0]:
+                if first.strip() != first or not first and rest:
                     raise KeyError
-                out.append(first + b"".join(map(self.known.__getitem__, pieces[1:])))
-            except KeyError:  # a piece that is empty or begins or ends with white space
-                whole = _CUT.split(text)
-                out.append(b"".join(self._direct(whole[:1] + [" " + p for p in whole[1:]])))
+                out.append(self._runs_in(first) + b"".join(map(self.pieces.__getitem__, rest)))
+            except KeyError:  # a piece that is empty, or begins or ends with white space
+                out.append(self._runs_in(text))
+        self.trim()
         return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, langcrf, lmscore, maintext, mixing, sharding, simhash, tokenfiles, toxgru
+from faultline.llm import contamination, imatch, langcrf, lmscore, maintext, mixing, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
@@ -35,6 +35,11 @@ def op5_mix(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source")
 
 
+@query
+def op1_imatch(spark, sf_dir):
+    return imatch.fingerprints(_docs(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op2_language(spark, sf_dir):
     docs = _docs(spark, sf_dir)

@@ -96,7 +96,7 @@ def flat_columns(raw: Column | str, v: Column) -> dict[str, Column]:
     )
     return {
         "Exception_Type": F.when(ok, F.coalesce(field(v, "Exception", "Exception Type"), F.lit("Unknown"))).otherwise("ParseError"),
-        "Exception_Message": F.when(ok, F.coalesce(field(v, "Exception", "Message"), F.lit(""))).otherwise(F.substring(text(raw), 1, 500)),
+        "Exception_Message": F.when(ok, F.coalesce(field(v, "Exception", "Message"), F.lit(""))).otherwise(text(raw)),
         "Stack_Trace": F.when(ok, F.coalesce(field(v, "Exception", "StackTrace"), F.lit(""))).otherwise(""),
         "Inner_Exception": F.when(ok & inner, inner_text).otherwise(""),
         "Error_Code": F.when(ok & inner, inner_code(v)).otherwise(""),
@@ -119,10 +119,8 @@ def details(v: Column) -> dict[str, Column]:
 
 
 def fallback_details(raw: Column | str) -> dict[str, Column]:
-    """The same six fields picked out of damaged text by pattern; traces are cut to 1000 characters."""
-    out = {name: F.regexp_extract(text(raw), pattern, 1) for name, pattern in FALLBACK_PATTERNS.items()}
-    out["stack_trace"] = F.substring(out["stack_trace"], 1, 1000)
-    return out
+    """The same six fields picked out of damaged text by pattern."""
+    return {name: F.regexp_extract(text(raw), pattern, 1) for name, pattern in FALLBACK_PATTERNS.items()}
 
 
 def details_or_fallback(raw: Column | str, v: Column) -> Column:

@@ -115,12 +115,27 @@ def normalize_code(code: Column | str) -> Column:
     return F.upper(strip(text(code)))
 
 
+#: Digits of a comparison signature that are shown; rows are compared by the whole digest.
+SHOWN_DIGITS = 16
+
+
+def dedup_key(etype: Column | str, normalized: Column | str, code: Column | str) -> Column:
+    """Whole digest of what makes two exceptions the same."""
+    return F.md5(F.concat(text(etype), F.lit("|"), text(normalized), F.lit("|"), text(code)))
+
+
 def dedup_signature(etype: Column | str, normalized: Column | str, code: Column | str) -> Column:
-    joined = F.concat(text(etype), F.lit("|"), text(normalized), F.lit("|"), text(code))
-    return F.substring(F.md5(joined), 1, 16)
+    """The short form of `dedup_key`, for display."""
+    return F.substring(dedup_key(etype, normalized, code), 1, SHOWN_DIGITS)
+
+
+def row_id(columns: list[str]) -> Column:
+    """Id of a row without a number of its own: digest of all its columns, so that distinct rows keep distinct ids."""
+    return F.concat(F.lit("EX_"), F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]))))
 
 
 def exception_id(module: Column | str, etype: Column | str, message: Column | str) -> Column:
+    """Short id of an exception's kind; rows of one kind share it."""
     return F.concat(F.lit("EX_"), F.substring(F.md5(F.concat(text(module), text(etype), text(message))), 1, 12))
 
 

@@ -89,14 +89,14 @@ def insights(results: DataFrame) -> DataFrame:
     top_n = -F.col("top.neg")
     inv_pct, purge_pct = F.col("inv") / F.col("total") * 100, F.col("purge") / F.col("total") * 100
     found = F.array_compact(F.array(
-        F.when(F.col("mean") >= 80, "High overall confidence - most exceptions are well-understood")
-        .when(F.col("mean") >= 60, "Moderate confidence - consider adding more KB patterns")
-        .otherwise("Low confidence - KB enhancement strongly recommended"),
-        F.when(inv_pct > 30, F.format_string("%.1f%% require manual investigation", inv_pct)),
-        F.when(purge_pct > 50, F.format_string("%.1f%% auto-classified for purge", purge_pct)),
-        F.when(top_n > F.col("total") * 0.2, F.concat(F.lit("'"), F.col("top.t"), F.lit("' is the most common exception type ("), top_n.cast("string"), F.lit(" occurrences)"))),
+        F.when(F.col("mean") >= 80, "Answers are confident on average")
+        .when(F.col("mean") >= 60, "Answers are fairly confident; more known cases would help")
+        .otherwise("Answers are unsure; the knowledge base lacks cases"),
+        F.when(inv_pct > 30, F.format_string("%.1f%% of the exceptions are left to people", inv_pct)),
+        F.when(purge_pct > 50, F.format_string("%.1f%% of the exceptions can be purged", purge_pct)),
+        F.when(top_n > F.col("total") * 0.2, F.concat(F.lit("Most frequent type: "), F.col("top.t"), F.lit(", "), top_n.cast("string"), F.lit(" times"))),
     ))
-    nothing = F.array(F.lit("No data available for analysis"))
+    nothing = F.array(F.lit("There are no results"))
     return one.select(F.posexplode(F.when(F.coalesce("total", F.lit(0)) == 0, nothing).otherwise(found)).alias("position", "insight"))
 
 

@@ -15,13 +15,16 @@ def flatten_event(df: DataFrame, raw: str = "EVENT_INFORMATION") -> DataFrame:
     return parsed.withColumns(events.flat_columns(raw, F.col("_v"))).drop("_v")
 
 
-def clean_exceptions(df: DataFrame, run_ts: str, module: str | None = None) -> DataFrame:
+def clean_exceptions(df: DataFrame, run_ts: str, module: str | None = None, short_ids: bool = False) -> DataFrame:
     """Distinct rows, trimmed column names, flattened payload, and defaults for absent columns.
 
-    `run_ts` stands for "now"; `module` fills the module when the table carries no hint of it.
+    `run_ts` stands for "now"; `module` fills the module when the table carries no hint of it. Without a
+    sequence number or id, a row's id is a digest of all its columns; `short_ids` gives the short id of its kind
+    instead, which rows of equal module, type and message share.
     """
     df = df.dropDuplicates()
     df = df.toDF(*[c.strip() for c in df.columns])
+    source = df.columns
     for name in PROCESS_NAME_COLUMNS[1:]:
         if name in df.columns and "Process_Name" not in df.columns:
             df = df.withColumnRenamed(name, "Process_Name")
@@ -38,7 +41,7 @@ def clean_exceptions(df: DataFrame, run_ts: str, module: str | None = None) -> D
         return F.col(name) if name in has else F.lit(None).cast("string")
 
     if "Exception_ID" not in has:
-        hashed = text.exception_id(have("Module"), have("Exception_Type"), have("Exception_Message"))
+        hashed = text.exception_id(have("Module"), have("Exception_Type"), have("Exception_Message")) if short_ids else text.row_id(source)
         df = df.withColumn("Exception_ID", F.col("LOG_SEQ_NO").cast("string") if "LOG_SEQ_NO" in has else hashed)
     if "Timestamp" not in has:
         df = df.withColumn("Timestamp", F.col("LOGTIME").cast("string") if "LOGTIME" in has else F.lit(run_ts))

@@ -62,27 +62,36 @@ def analysis_prompt(d: Column, context: Column) -> Column:
     )
 
 
-def snippet_list(found: DataFrame) -> DataFrame:
-    """(Exception_ID, snippets): at most five structs per exception, in order."""
+def snippet_list(found: DataFrame, shown: int = SNIPPETS_SHOWN) -> DataFrame:
+    """(Exception_ID, snippets): the first `shown` structs per exception, in order."""
     cols = ["snippet_no", "match_type", "file_path", "line_start", "line_end", "target_line", "content"]
-    return found.filter(F.col("snippet_no") <= SNIPPETS_SHOWN).groupBy("Exception_ID").agg(
+    return found.filter(F.col("snippet_no") <= shown).groupBy("Exception_ID").agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("snippets")
     )
 
 
-def code_prompt(d: Column, snippets: Column, context: Column) -> dict[str, Column]:
-    """The prompt of a code-aware analysis in two parts: the essential text and the code."""
+def code_prompt(d: Column, snippets: Column, context: Column, caps: dict[str, int] | None = None) -> dict[str, Column]:
+    """The prompt of a code-aware analysis in two parts: the essential text and the code.
+
+    Whole texts; `caps` (keys content, stack_trace, context) shortens them. The one limit of a model's
+    input is `within_budget`.
+    """
+    caps = caps or {}
+
+    def short(value: Column, name: str) -> Column:
+        return F.substring(value, 1, caps[name]) if name in caps else value
+
     shown = F.transform(snippets, lambda s: F.concat_ws(
         "\n", F.concat(F.lit("File: "), s["file_path"], F.lit(" lines "), s["line_start"].cast("string"), F.lit("-"), s["line_end"].cast("string"), F.lit(" ("), s["match_type"], F.lit(")")),
         F.when(s["target_line"].isNotNull(), F.concat(F.lit("Error at line "), s["target_line"].cast("string"))),
-        F.substring(s["content"], 1, 2000),
+        short(s["content"], "content"),
     ))
     essential = F.concat_ws(
         "\n", F.lit("Find the cause of this exception in the code below. Answer with one JSON object: Resolution, Root_Cause, Reasoning, "
                     "Suggested_Action, Code_Issue_Found (Yes/No), Affected_Code_File, Suggested_Fix, Confidence, Similar_Patterns."),
         F.concat(F.lit("Type: "), text.text(d["exception_type"])), F.concat(F.lit("Message: "), text.text(d["message"])),
-        F.when(text.text(d["stack_trace"]) != "", F.concat(F.lit("Stack trace: "), F.substring(d["stack_trace"], 1, 1000))),
-        F.when(F.coalesce(context, F.lit(NO_CASES_TEXT)) != NO_CASES_TEXT, F.concat(F.lit("Knowledge base: "), F.substring(context, 1, 1500))),
+        F.when(text.text(d["stack_trace"]) != "", F.concat(F.lit("Stack trace: "), short(d["stack_trace"], "stack_trace"))),
+        F.when(F.coalesce(context, F.lit(NO_CASES_TEXT)) != NO_CASES_TEXT, F.concat(F.lit("Knowledge base: "), short(context, "context"))),
     )
     return {"essential": essential, "code": F.array_join(F.coalesce(shown, F.array().cast("array<string>")), "\n\n")}
 
@@ -92,22 +101,25 @@ def words(c: Column) -> Column:
 
 
 def within_budget(essential: Column, code: Column, limit: int = MAX_PROMPT_WORDS, kept: int = KEPT_WORDS) -> Column:
-    """Whole prompt when it is short enough; otherwise the essential part and as much code as fits."""
+    """Whole prompt when it is short enough; otherwise the essential part and as much code as fits.
+
+    This is the input limit of a model, in words; a model that reads more takes a larger `limit` and `kept`.
+    """
     n_essential, code_words = F.size(words(essential)), words(code)
     room = F.lit(kept) - n_essential
     trimmed = F.when(room > 0, F.concat(essential, F.lit("\n\n"), F.array_join(F.slice(code_words, F.lit(1), F.greatest(room, F.lit(1))), " "))).otherwise(essential)
     return F.when(n_essential + F.size(code_words) > limit, trimmed).otherwise(F.concat_ws("\n", essential, code))
 
 
-def code_summary(found: DataFrame) -> DataFrame:
-    """Short text per exception about the snippets used: the first three, and how many more."""
+def code_summary(found: DataFrame, shown: int = SUMMARY_SHOWN) -> DataFrame:
+    """Short text per exception about the snippets used: the first ones, and how many more."""
     total = found.groupBy("Exception_ID").agg(F.count(F.lit(1)).alias("n"))
-    top = found.filter(F.col("snippet_no") <= SUMMARY_SHOWN).groupBy("Exception_ID").agg(
+    top = found.filter(F.col("snippet_no") <= shown).groupBy("Exception_ID").agg(
         F.array_sort(F.collect_list(F.struct("snippet_no", "file_path", "line_start", "line_end", "match_type"))).alias("s")
     )
     line = F.transform("s", lambda x: F.concat(
         F.lit("  "), x["snippet_no"].cast("string"), F.lit(". "), text.basename(x["file_path"]), F.lit(" (lines "), x["line_start"].cast("string"), F.lit("-"),
         x["line_end"].cast("string"), F.lit(") - "), x["match_type"], F.lit(" match")))
-    more = F.when(F.col("n") > SUMMARY_SHOWN, F.concat(F.lit("  ... and "), (F.col("n") - SUMMARY_SHOWN).cast("string"), F.lit(" more")))
+    more = F.when(F.col("n") > shown, F.concat(F.lit("  ... and "), (F.col("n") - shown).cast("string"), F.lit(" more")))
     head = F.concat(F.lit("Analyzed "), F.col("n").cast("string"), F.lit(" code file(s):"))
     return total.join(top, "Exception_ID").select("Exception_ID", F.concat_ws("\n", head, F.array_join(line, "\n"), more).alias("summary"))

@@ -60,10 +60,20 @@ def group_totals(df: DataFrame, group: str, time: str = "Timestamp") -> DataFram
     )
 
 
-def group_machines(df: DataFrame, group: str, machine: str = "MACHINE_NAME") -> DataFrame:
-    """First five distinct machines per group in order of appearance."""
-    seen = df.groupBy(group, F.coalesce(F.col(machine).cast("string"), F.lit("nan")).alias("_m")).agg(F.min("row_ord").alias("_first"))
-    top = first_per(seen, [group], ["_first"], MAX_MACHINES)
+def machine_table(df: DataFrame, group: str, machine: str = "MACHINE_NAME") -> DataFrame:
+    """(group, machine, first row_ord): all machines of every group, one row each."""
+    return df.groupBy(group, F.coalesce(F.col(machine).cast("string"), F.lit("nan")).alias(machine)).agg(F.min("row_ord").alias("first_ord"))
+
+
+def id_table(df: DataFrame, group: str) -> DataFrame:
+    """(group, Exception_ID): all ids of every group, one row each; the table that results are expanded by."""
+    return df.select(group, F.col("Exception_ID").cast("string").alias("Exception_ID")).distinct()
+
+
+def group_machines(df: DataFrame, group: str, machine: str = "MACHINE_NAME", shown: int = MAX_MACHINES) -> DataFrame:
+    """The first `shown` distinct machines per group in order of appearance; `machine_table` has all of them."""
+    seen = machine_table(df, group, machine).select(group, F.col(machine).alias("_m"), F.col("first_ord").alias("_first"))
+    top = first_per(seen, [group], ["_first"], shown)
     return top.groupBy(group).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_m"))), lambda x: x["_m"]), ", ").alias("Affected_Machines")
     )
@@ -78,9 +88,10 @@ def compress_groups(df: DataFrame, group: str = "Exception_Group") -> DataFrame:
 def listed_ids(df: DataFrame, group: str, limit: int) -> DataFrame:
     """Distinct ids per group: their number, and the sorted list when there are at most `limit`.
 
-    Larger groups get a short text instead, so the list that is gathered never exceeds `limit` items.
+    Larger groups get a short text instead, so the list that is gathered never exceeds `limit` items;
+    `id_table` has all ids, and `limit=0` gives every group the short text.
     """
-    pairs = df.select(group, F.col("Exception_ID").cast("string").alias("Exception_ID")).distinct()
+    pairs = id_table(df, group)
     counts = pairs.groupBy(group).agg(F.count("Exception_ID").alias("n_ids"))
     listed = first_per(pairs, [group], ["Exception_ID"], limit).groupBy(group).agg(
         F.array_join(F.array_sort(F.collect_list("Exception_ID")), "|").alias("_ids")
@@ -91,10 +102,10 @@ def listed_ids(df: DataFrame, group: str, limit: int) -> DataFrame:
     )
 
 
-def representatives(df: DataFrame, group: str = "Dedup_Group_ID") -> DataFrame:
-    """Representative of every near-duplicate group: first row, counts, id list, machines."""
+def representatives(df: DataFrame, group: str = "Dedup_Group_ID", listed: int = MAX_LISTED_IDS) -> DataFrame:
+    """Representative of every near-duplicate group: first row, counts, ids (listed up to `listed`), machines."""
     base = compress_groups(df, group).withColumn("Dedup_Count", F.col("Occurrence_Count"))
-    ids = listed_ids(df, group, MAX_LISTED_IDS).select(group, "Original_Exception_IDs")
+    ids = listed_ids(df, group, listed).select(group, "Original_Exception_IDs")
     return base.join(ids, group)
 
 
@@ -102,10 +113,9 @@ def unique_for_dev(df: DataFrame) -> DataFrame:
     """One row per group, or per comparison signature when the rows are not grouped."""
     if "Dedup_Group_ID" in df.columns:
         return first_per(df, ["Dedup_Group_ID"])
-    signed = df.withColumn(
-        "Signature", text.dedup_signature("Exception_Type", text.normalize_message("Exception_Message"), "Error_Code")
-    )
-    return first_per(signed, ["Signature"])
+    key = text.dedup_key("Exception_Type", text.normalize_message("Exception_Message"), "Error_Code")
+    signed = first_per(df.withColumn("_key", key), ["_key"])
+    return signed.withColumn("Signature", F.substring("_key", 1, text.SHOWN_DIGITS)).drop("_key")
 
 
 def expand_groups(results: DataFrame, bridge: DataFrame, limit: int = 10) -> DataFrame:

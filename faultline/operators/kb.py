@@ -9,8 +9,8 @@ from faultline.functions import events, scoring, text
 from faultline.operators.grouping import first_per
 from faultline.schemas import KB_ALIASES, STANDARD_MODULES
 
-PRIMARY_HEADING = "=== EVENT INFORMATION (PRIMARY) ==="
-SECONDARY_HEADING = "\n=== RESOLUTION CONTEXT (SECONDARY) ==="
+PRIMARY_HEADING = "# What happened"
+SECONDARY_HEADING = "\n# What was done"
 DETAILS = events.DETAIL_FIELDS
 
 
@@ -59,9 +59,12 @@ def kb_document(d: Column, resolution: Column, root_cause: Column, action: Colum
     )
 
 
-def search_text(d: Column) -> Column:
-    """Search text of an exception, null when there is nothing to search for."""
-    lines = F.concat_ws("\n", *primary_lines(d, {"message": 500, "stack_trace": 800, "inner_exception_message": 300}))
+def search_text(d: Column, caps: dict[str, int] | None = None) -> Column:
+    """Search text of an exception, null when there is nothing to search for.
+
+    Whole fields; `caps` shortens single ones, for embedders that read a limited number of characters.
+    """
+    lines = F.concat_ws("\n", *primary_lines(d, caps))
     return F.when(lines != "", F.concat_ws("\n", F.lit(PRIMARY_HEADING), lines))
 
 
@@ -89,7 +92,7 @@ def kb_candidates(df: DataFrame) -> DataFrame:
         d["message"].alias("exception_message"),
         scoring.normalize_resolution("Resolution").alias("resolution"),
         text.text("Root_Cause").alias("root_cause"),
-        F.substring(text.text("Action"), 1, 300).alias("action"),
+        text.text("Action").alias("action"),
         d["stack_trace"].alias("stack_trace"),
         d["inner_exception_type"].alias("inner_exception_type"),
         d["inner_exception_message"].alias("inner_exception_message"),
@@ -101,14 +104,16 @@ def kb_candidates(df: DataFrame) -> DataFrame:
     )
 
 
-def entry_id(tag: str | None, digits: int) -> Column:
-    middle = F.lit(tag) if tag else F.col("row_ord").cast("string")
-    return F.concat_ws("_", "module", middle, F.substring("signature", 1, digits))
+def entry_id(tag: str | None) -> Column:
+    """Ids of a build carry the row's order, appended ones the whole signature, so that none is met twice."""
+    if tag:
+        return F.concat_ws("_", "module", F.lit(tag), "signature")
+    return F.concat_ws("_", "module", F.col("row_ord").cast("string"), F.substring("signature", 1, 8))
 
 
 def kb_build(df: DataFrame) -> DataFrame:
     """Fresh knowledge base: first row per module and signature."""
-    return first_per(kb_candidates(df), ["module", "signature"]).withColumn("id", entry_id(None, 8))
+    return first_per(kb_candidates(df), ["module", "signature"]).withColumn("id", entry_id(None))
 
 
 def kb_load_report(df: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def kb_append(stored: DataFrame, df: DataFrame) -> DataFrame:
     """New entries only: neither stored already nor earlier in the same file."""
     fresh = first_per(kb_candidates(df), ["module", "signature"])
     return fresh.join(stored.select("module", "signature").distinct(), ["module", "signature"], "left_anti").withColumn(
-        "id", entry_id("append", 12)
+        "id", entry_id("append")
     )
 
 

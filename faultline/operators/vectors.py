@@ -20,7 +20,7 @@ from faultline.operators.grouping import first_per
 from faultline.schemas import GOOD_MATCH
 from faultline.session import BROADCAST_LIMIT_BYTES, cut
 
-MAX_K = 5
+TOP_K = 5  # default number of hits
 ENTRY_BLOCK = 4096
 _DIGITS = 9  # distances are compared after rounding, so the order does not hang on the last bits
 
@@ -66,6 +66,11 @@ def _score(k: int, metric: str, per_module: bool):
                 e = np.asarray(r.k_mat, dtype=np.float64).reshape(len(k_ids), -1)
                 order = np.argsort(k_ids, kind="stable")
                 k_ids, e, modules = k_ids[order], e[order], np.asarray(r.k_modules, dtype=object)[order]
+                if r.own is not None:
+                    far = np.array([m is None or m.replace(" ", "_").lower() != r.own for m in modules], dtype=bool)
+                    k_ids, e, modules = k_ids[far], e[far], modules[far]
+                    if not len(k_ids):
+                        continue
                 groups = [np.flatnonzero(modules == m) for m in pd.unique(modules)] if per_module else [np.arange(len(k_ids))]
                 for start in range(0, len(q_ids), 512):
                     some = q[start:start + 512]
@@ -106,58 +111,67 @@ def _entry_blocks(kb: DataFrame, by_module: bool) -> tuple[DataFrame, DataFrame,
     return packed, sizes, total <= BROADCAST_LIMIT_BYTES
 
 
-def knn_join(queries: DataFrame, kb: DataFrame, k: int = MAX_K, metric: str = "l2", within_module: bool = True, per_module: bool = False) -> DataFrame:
+def knn_join(queries: DataFrame, kb: DataFrame, k: int = TOP_K, metric: str = "l2", within_module: bool = True, per_module: bool = False, others: bool = False) -> DataFrame:
     """(q_id, module, kb_id, distance, similarity, rank) of the k nearest entries of every query.
 
     `queries` = (q_id, module, vec), `kb` = (kb_id, module, embedding). `within_module` searches only the
-    query's module; `per_module` keeps k per entry module instead of k in all.
+    query's module; `per_module` keeps k per entry module instead of k in all; `others` leaves the query's
+    own module out of a search over all of them.
     """
     blocks, sizes, fits = _entry_blocks(kb, within_module)
-    q = queries.select("q_id", module_key(F.col("module")).alias("mkey") if within_module else F.lit("").alias("mkey"), F.col("vec"))
+    own = module_key(F.col("module"))
+    q = queries.select("q_id", (own if within_module else F.lit("")).alias("mkey"), "vec", *([own.alias("own")] if others else []))
     id_type = q.schema["q_id"].dataType.simpleString()
     kb_type = kb.schema["kb_id"].dataType.simpleString()
     vec_type = q.schema["vec"].dataType.simpleString()
-    packed = q.mapInPandas(_pack(["mkey"]), f"mkey string, q_ids array<{id_type}>, q_mat {vec_type}")
+    keys = ["mkey", "own"] if others else ["mkey"]
+    packed = q.mapInPandas(_pack(keys), f"{', '.join(f'{c} string' for c in keys)}, q_ids array<{id_type}>, q_mat {vec_type}")
+    if not others:
+        packed = packed.withColumn("own", F.lit(None).cast("string"))
     spread = packed.join(sizes, "mkey").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
+    # a fixed number of tasks: the work per byte is too high for partitions merged by size
+    tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if fits:
-        blocks = F.broadcast(blocks)
-    else:  # a fixed number of tasks: the work per byte is too high for partitions merged by size
-        spread = spread.repartition(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mkey", "blk")
+        blocks, spread = F.broadcast(blocks), spread.repartition(tasks)
+    else:
+        spread = spread.repartition(tasks, "mkey", "blk")
     met = spread.join(blocks, ["mkey", "blk"])
-    hits = met.select("q_ids", "q_mat", "k_ids", "k_modules", "k_mat").mapInPandas(
+    hits = met.select("q_ids", "q_mat", "own", "k_ids", "k_modules", "k_mat").mapInPandas(
         _score(k, metric, per_module), f"q_id {id_type}, module string, kb_id {kb_type}, distance double"
     )
     keys = ["q_id", "module"] if per_module else ["q_id"]
     return first_per(hits, keys, ["distance", "kb_id"], k, rank="rank").withColumn("similarity", similarity(F.col("distance")))
 
 
-def kb_topk(queries: DataFrame, kb: DataFrame, top_k: int = MAX_K, metric: str = "l2") -> DataFrame:
-    """Nearest entries in the query's own module; k is never more than five."""
-    return knn_join(queries, kb, min(top_k, MAX_K), metric)
+def kb_topk(queries: DataFrame, kb: DataFrame, top_k: int = TOP_K, metric: str = "l2") -> DataFrame:
+    """Nearest entries in the query's own module."""
+    return knn_join(queries, kb, top_k, metric)
 
 
 def best_match(hits: DataFrame) -> DataFrame:
     return hits.filter(F.col("rank") == 1).drop("rank")
 
 
-def code_topk(queries: DataFrame, chunks: DataFrame, top_k: int = MAX_K, metric: str = "l2", min_similarity: float | None = None) -> DataFrame:
+def code_topk(queries: DataFrame, chunks: DataFrame, top_k: int = TOP_K, metric: str = "l2", min_similarity: float | None = None) -> DataFrame:
     """Nearest code chunks of every query; `chunks` = (kb_id, embedding)."""
     hits = knn_join(queries.withColumn("module", F.lit("")), chunks.withColumn("module", F.lit("")), top_k, metric, within_module=False)
     return hits.filter(F.col("similarity") >= min_similarity) if min_similarity is not None else hits
 
 
-def cross_module(queries: DataFrame, kb: DataFrame, top_k: int = MAX_K, min_similarity: float = GOOD_MATCH, metric: str = "l2") -> DataFrame:
+def cross_module(queries: DataFrame, kb: DataFrame, top_k: int = TOP_K, min_similarity: float = GOOD_MATCH, metric: str = "l2") -> DataFrame:
     """Hits of the module that is used: the query's own when good enough, else the best of all.
 
-    Only queries without a good own match are searched everywhere. A tie keeps the own module, then the
-    earlier name; another module must find something similar at all.
+    Only queries without a good own match are searched elsewhere, in the other modules. A tie keeps the own
+    module, then the earlier name; another module must find something similar at all.
     """
-    k = min(top_k, MAX_K)
-    own = cut(knn_join(queries, kb, k, metric))
+    own = cut(knn_join(queries, kb, top_k, metric))
     good = own.filter((F.col("rank") == 1) & (F.col("similarity") >= min_similarity)).select("q_id")
     rest = queries.join(good, "q_id", "left_anti")
-    every = cut(knn_join(rest, kb, k, metric, within_module=False, per_module=True))
-    tops = every.filter(F.col("rank") == 1).join(queries.select("q_id", module_key(F.col("module")).alias("_own")), "q_id")
-    tops = tops.withColumn("_mine", module_key(F.col("module")) == F.col("_own")).filter(F.col("_mine") | (F.col("similarity") > 0))
-    chosen = first_per(tops, ["q_id"], [F.col("similarity").desc(), F.col("_mine").desc(), F.col("module")]).select("q_id", "module")
-    return own.join(good, "q_id", "left_semi").unionByName(every.join(chosen, ["q_id", "module"]))
+    far = cut(knn_join(rest, kb, top_k, metric, within_module=False, per_module=True, others=True))
+    found = own.withColumn("_mine", F.lit(True)).unionByName(far.withColumn("_mine", F.lit(False)))
+    tops = found.filter((F.col("rank") == 1) & (F.col("_mine") | (F.col("similarity") > 0)))
+    order = [F.col("similarity").desc(), F.col("_mine").desc(), F.col("module")]
+    chosen = first_per(tops.join(good, "q_id", "left_anti"), ["q_id"], order).select(F.col("q_id").alias("_q"), F.col("module").alias("_chosen"), F.col("_mine").alias("_own"))
+    meets = (F.col("q_id") == F.col("_q")) & (F.col("_mine") == F.col("_own")) & (F.col("_own") | (F.col("module") == F.col("_chosen")))
+    best = found.join(chosen, meets).select(*own.columns)
+    return own.join(good, "q_id", "left_semi").unionByName(best)

@@ -82,7 +82,7 @@ FALLBACK = {
 
 def fallback(name: str, payload: str) -> str:
     hit = f"regexp_extract(coalesce({payload}, ''), '{FALLBACK[name]}', 1)"
-    return f"substr({hit}, 1, 1000)" if name == "stack_trace" else hit
+    return hit
 
 
 def detail(name: str) -> str:

@@ -19,16 +19,14 @@ WHEN regexp_matches(upper(coalesce(Resolution, '')), 'REPROCESS|RETRY|RESEND|RE-
 WHEN regexp_matches(upper(coalesce(Resolution, '')), 'INVESTIGATE|ESCALATE|REVIEW|ANALYZE|CHECK') THEN 'INVESTIGATE' ELSE 'UNDEFINED' END"""
 
 
-def _line(label: str, value: str, cap: int | None = None) -> str:
-    shown = f"substr({value}, 1, {cap})" if cap else value
-    return f"CASE WHEN coalesce({value}, '') <> '' THEN '{label}: ' || {shown} END"
+def _line(label: str, value: str) -> str:
+    return f"CASE WHEN coalesce({value}, '') <> '' THEN '{label}: ' || {value} END"
 
 
-_LABELS = [("Exception Type", "exception_type", None), ("Message", "message", 500), ("Stack Trace", "stack_trace", 800),
-           ("Inner Exception", "inner_exception_type", None), ("Inner Message", "inner_exception_message", 300), ("Error Code", "error_code", None)]
-_PRIMARY = ", ".join(_line(a, b) for a, b, _ in _LABELS)
-_CAPPED = ", ".join(_line(a, b, c) for a, b, c in _LABELS)
-_DOC = (f"concat_ws(chr(10), '=== EVENT INFORMATION (PRIMARY) ===', {_PRIMARY}, chr(10) || '=== RESOLUTION CONTEXT (SECONDARY) ===', "
+_LABELS = [("Exception Type", "exception_type"), ("Message", "message"), ("Stack Trace", "stack_trace"),
+           ("Inner Exception", "inner_exception_type"), ("Inner Message", "inner_exception_message"), ("Error Code", "error_code")]
+_PRIMARY = ", ".join(_line(a, b) for a, b in _LABELS)
+_DOC = (f"concat_ws(chr(10), '{kb.PRIMARY_HEADING}', {_PRIMARY}, '{kb.SECONDARY_HEADING}', "
         + ", ".join([_line("Resolution", "Resolution"), _line("Root Cause", "Summary"), _line("Action", '"Suggested Step"')]) + ")")
 _SIG = (f"md5(concat_ws('|', {q.strip('lower(exception_type)')}, {q.strip('lower(message)')}, {q.strip('lower(stack_trace)')}, "
         + q.strip("upper(coalesce(Resolution, ''))") + ", " + q.strip("lower(coalesce(\"Suggested Step\", ''))") + "))")
@@ -43,7 +41,7 @@ def entries_sql(source: str, tag: str) -> str:
     return (
         parsed + f", {tag}d AS (SELECT *, {details} FROM {tag}p), "
         f"{tag}c AS (SELECT row_ord, Module AS module, exception_type, message AS exception_message, {NORM_RES} AS resolution, coalesce(Summary, '') AS root_cause, "
-        f"substr(coalesce(\"Suggested Step\", ''), 1, 300) AS action, stack_trace, inner_exception_type, inner_exception_message, error_code, '' AS process_name, Added_At AS added_at, "
+        f"coalesce(\"Suggested Step\", '') AS action, stack_trace, inner_exception_type, inner_exception_message, error_code, '' AS process_name, Added_At AS added_at, "
         f"{_DOC} AS document, {_SIG} AS signature FROM {tag}d WHERE coalesce(EVENT_INFORMATION, '') <> '' AND exception_type <> ''), "
         f"{tag}k AS (SELECT * FROM {tag}c QUALIFY row_number() OVER (PARTITION BY module, signature ORDER BY row_ord) = 1)"
     )
@@ -86,7 +84,7 @@ _SEARCH = with_views("log").rstrip() + ", " + q.parsed("log", "payload", True) +
     f"{q.detail_or_fallback(n, 'payload')} AS {n}" for n in events.DETAIL_FIELDS) + " FROM p) "
 
 
-@query("search_text", _SEARCH + f"SELECT event_id, '=== EVENT INFORMATION (PRIMARY) ===' || chr(10) || concat_ws(chr(10), {_CAPPED}) AS search_text FROM d WHERE concat_ws('', {_CAPPED}) <> ''")
+@query("search_text", _SEARCH + f"SELECT event_id, '{kb.PRIMARY_HEADING}' || chr(10) || concat_ws(chr(10), {_PRIMARY}) AS search_text FROM d WHERE concat_ws('', {_PRIMARY}) <> ''")
 def _(spark, sf):
     rows = kb.with_details(view(spark, sf, "log").select("event_id", F.col("payload").alias("EVENT_INFORMATION")))
     return once(rows, "search_text", kb.search_text(F.col("d"))).select("event_id", "search_text").filter(F.col("search_text").isNotNull())
@@ -110,7 +108,7 @@ def _(spark, sf):
     return kb.kb_load_report(kbfile(spark, sf))
 
 
-@query("kb_append", _KB2 + """SELECT b.*, b.module || '_append_' || substr(b.signature, 1, 12) AS id FROM bk b
+@query("kb_append", _KB2 + """SELECT b.*, b.module || '_append_' || b.signature AS id FROM bk b
 WHERE NOT EXISTS (SELECT 1 FROM ak a WHERE a.module = b.module AND a.signature = b.signature)""")
 def _(spark, sf):
     return kb.kb_append(stored(spark, sf), view(spark, sf, "kbnew"))
@@ -145,12 +143,12 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _VEC = with_views("paired", "kbvec").rstrip() + """,
-mix AS (SELECT q_id, module, list_transform(list_zip(e1, e2), lambda x: w * CAST(x[1] AS DOUBLE) + (1 - w) * CAST(x[2] AS DOUBLE)) AS m FROM paired),
-qv AS (SELECT q_id, module, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM mix),
-kv AS (SELECT kb_id, module, CAST(embedding AS DOUBLE[]) AS e FROM kbvec),
-dist AS (SELECT q.q_id, q.module AS q_module, k.module, k.kb_id, round(greatest(0, list_dot_product(q.v, q.v) + list_dot_product(k.e, k.e) - 2 * list_dot_product(q.v, k.e)), 9) AS d FROM qv q, kv k),
-own AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, kb_id) AS rnk FROM dist WHERE q_module = module QUALIFY rnk <= 5),
-every AS (SELECT *, row_number() OVER (PARTITION BY q_id, module ORDER BY d, kb_id) AS rnk FROM dist QUALIFY rnk <= 5)
+mix AS MATERIALIZED (SELECT q_id, module, list_transform(list_zip(e1, e2), lambda x: w * CAST(x[1] AS DOUBLE) + (1 - w) * CAST(x[2] AS DOUBLE)) AS m FROM paired),
+qv AS MATERIALIZED (SELECT q_id, module, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS v FROM mix),
+kv AS MATERIALIZED (SELECT kb_id, module, CAST(embedding AS DOUBLE[]) AS e FROM kbvec),
+dist AS MATERIALIZED (SELECT q.q_id, q.module AS q_module, k.module, k.kb_id, round(greatest(0, list_dot_product(q.v, q.v) + list_dot_product(k.e, k.e) - 2 * list_dot_product(q.v, k.e)), 9) AS d FROM qv q, kv k),
+own AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, kb_id) AS rnk FROM dist WHERE q_module = module QUALIFY rnk <= 5),
+every AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY q_id, module ORDER BY d, kb_id) AS rnk FROM dist QUALIFY rnk <= 5)
 """
 _HIT = "q_id, module, kb_id, CAST(rnk AS INT) AS rank, round(d, 6) AS distance, round(greatest(0, 1 - d), 6) AS similarity"
 

@@ -153,10 +153,10 @@ def _(spark, sf):
 
 @query("insights", with_views("results").rstrip() + f""", o AS (SELECT avg(Confidence_Score) AS mean, {_n('INVESTIGATE')} / count(*) * 100 AS inv, {_n('PURGE')} / count(*) * 100 AS purge, count(*) AS total FROM results),
 t AS (SELECT Exception_Type AS t, count(*) AS n FROM results GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1),
-l AS (SELECT list_filter([CASE WHEN mean >= 80 THEN 'High overall confidence - most exceptions are well-understood' WHEN mean >= 60 THEN 'Moderate confidence - consider adding more KB patterns'
-  ELSE 'Low confidence - KB enhancement strongly recommended' END, CASE WHEN inv > 30 THEN printf('%.1f%% require manual investigation', inv) END,
-  CASE WHEN purge > 50 THEN printf('%.1f%% auto-classified for purge', purge) END,
-  CASE WHEN n > total * 0.2 THEN '''' || t || ''' is the most common exception type (' || n || ' occurrences)' END], lambda x: x IS NOT NULL) AS x FROM o, t)
+l AS (SELECT list_filter([CASE WHEN mean >= 80 THEN 'Answers are confident on average' WHEN mean >= 60 THEN 'Answers are fairly confident; more known cases would help'
+  ELSE 'Answers are unsure; the knowledge base lacks cases' END, CASE WHEN inv > 30 THEN printf('%.1f%% of the exceptions are left to people', inv) END,
+  CASE WHEN purge > 50 THEN printf('%.1f%% of the exceptions can be purged', purge) END,
+  CASE WHEN n > total * 0.2 THEN 'Most frequent type: ' || t || ', ' || n || ' times' END], lambda x: x IS NOT NULL) AS x FROM o, t)
 SELECT CAST(unnest(range(len(x))) AS INT) AS position, unnest(x) AS insight FROM l""")
 def _(spark, sf):
     return audit.insights(view(spark, sf, "results"))

@@ -101,7 +101,7 @@ def _(spark, sf):
 _INNER_OK = "ok AND json_type(j, '$.Exception.InnerException') = 'OBJECT' AND len(json_keys(j, '$.Exception.InnerException')) > 0"
 _FLAT = {
     "Exception_Type": f"CASE WHEN ok THEN coalesce({q.js('j', 'Exception', 'Exception Type')}, 'Unknown') ELSE 'ParseError' END",
-    "Exception_Message": f"CASE WHEN ok THEN coalesce({q.js('j', 'Exception', 'Message')}, '') ELSE substr(coalesce(payload, ''), 1, 500) END",
+    "Exception_Message": f"CASE WHEN ok THEN coalesce({q.js('j', 'Exception', 'Message')}, '') ELSE coalesce(payload, '') END",
     "Stack_Trace": f"CASE WHEN ok THEN coalesce({q.js('j', 'Exception', 'StackTrace')}, '') ELSE '' END",
     "Inner_Exception": f"CASE WHEN {_INNER_OK} THEN coalesce({q.js('j', 'Exception', 'InnerException', 'Exception Type')}, '') || ': ' || coalesce({q.js('j', 'Exception', 'InnerException', 'Message')}, '') ELSE '' END",
     "Error_Code": f"CASE WHEN {_INNER_OK} THEN {q.CODE} ELSE '' END",

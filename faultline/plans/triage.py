@@ -18,17 +18,32 @@ from faultline.session import cut, dense_number, saved
 def score_with_callable(df: DataFrame, fn: Callable[[list[str]], list[str]], prompt: str, out: str = "raw_answer") -> DataFrame:
     """Add the answers of a user function to a column of prompts, batch by batch.
 
-    A batch that fails keeps its rows: the answer is null and `error` says why.
+    A batch that fails, or gets more or fewer answers than prompts, is asked again prompt by prompt; a prompt
+    that fails keeps its row: the answer is null and `error` says why.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
 
+    def ask(prompts: list[str]) -> list[str]:
+        answers = list(fn(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+        return answers
+
+    def ask_each(prompts: list[str]) -> Iterator[tuple[str | None, str | None]]:
+        for p in prompts:
+            try:
+                yield ask([p])[0], None
+            except Exception as e:
+                yield None, str(e)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            prompts = pdf[prompt].tolist()
             try:
-                answers, error = list(fn(pdf[prompt].tolist())), None
-            except Exception as e:
-                answers, error = [None] * len(pdf), str(e)
-            yield pdf.assign(**{out: answers, "error": error})
+                pairs = [(a, None) for a in ask(prompts)]
+            except Exception:
+                pairs = list(ask_each(prompts))
+            yield pdf.assign(**{out: pd.Series([a for a, _ in pairs], index=pdf.index, dtype=object), "error": pd.Series([e for _, e in pairs], index=pdf.index, dtype=object)})
 
     return df.mapInPandas(run, schema)
 

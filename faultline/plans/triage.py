@@ -109,13 +109,21 @@ def representative_table(log: DataFrame, run_ts: str, module: str) -> tuple[Data
     return reps, grouped.select("Dedup_Group_ID", "Exception_ID")
 
 
-def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Callable | None = None, answers: DataFrame | None = None) -> DataFrame:
-    """Result rows of the representatives: case search, model answer, merge.
+def classify(reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Add `Classified_Type`: the label a model gave the representative (`labels`: row_ord, label), else its own type."""
+    if labels is None:
+        return reps.withColumn("Classified_Type", F.col("Exception_Type"))
+    given = reps.join(labels.select("row_ord", "label"), "row_ord", "left")
+    return given.withColumn("Classified_Type", scoring.classified_type("label", "Exception_Type")).drop("label")
 
-    Search and model run on representatives only. `answers` (row_ord, raw_answer) replaces the model when
-    given; `kb` holds entries with `kb_id` and `embedding`.
+
+def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Callable | None = None, answers: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Result rows of the representatives: class, case search, model answer, merge.
+
+    Search and model run on representatives only. `answers` (row_ord, raw_answer) and `labels` (row_ord,
+    label) replace the model's when given; `kb` holds entries with `kb_id` and `embedding`.
     """
-    featured = clean.features(reps)
+    featured = clean.features(classify(reps, labels))
     parsed = events.with_payload(featured, "EVENT_INFORMATION")
     good = events.details(F.col("_v"))
     own = {
@@ -153,15 +161,18 @@ def analyze(reps: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Ca
     }
     cols = result_columns(row, best, F.col("answer"), F.col("error"), module)
     return checked.select(
-        F.col("group_ord").alias("row_ord"), *[c.alias(n) for n, c in cols.items()], "Dedup_Group_ID", "Dedup_Count", "Original_Exception_IDs"
+        F.col("group_ord").alias("row_ord"), *[c.alias(n) for n, c in cols.items()], "Classified_Type", "Dedup_Group_ID", "Dedup_Count", "Original_Exception_IDs"
     )
 
 
-def triage(log: DataFrame, kb: DataFrame, embedder, module: str, run_ts: str, answer_fn: Callable | None = None) -> DataFrame:
-    """Raw exception log in, one result row per original exception out."""
+def triage(log: DataFrame, kb: DataFrame, embedder, module: str, run_ts: str, answer_fn: Callable | None = None, answers: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Raw exception log in, one result row per original exception out.
+
+    `answers` and `labels` are recorded answers of a model by row order; without them `answer_fn` is asked.
+    """
     reps, bridge = representative_table(log, run_ts, module)
-    results = cut(analyze(cut(reps), kb, embedder, module, answer_fn))
-    return grouping.expand_groups(results, bridge).select(*RESULT_COLUMNS)
+    results = cut(analyze(cut(reps), kb, embedder, module, answer_fn, answers, labels))
+    return grouping.expand_groups(results, bridge).select(*RESULT_COLUMNS, "Classified_Type")
 
 
 def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, embedder, answer_fn: Callable | None = None, answers: DataFrame | None = None, top_k: int = 5) -> DataFrame:

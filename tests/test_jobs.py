@@ -127,7 +127,7 @@ def test_triage_returns_every_exception(spark):
     got = entry.entry(spark)
     ids = got.select("Exception_ID").collect()
     assert len(ids) == len({r[0] for r in ids}) == 1000
-    assert got.columns == triage.RESULT_COLUMNS
+    assert got.columns == [*triage.RESULT_COLUMNS, "Classified_Type"]
 
 
 def test_page_by_key_equals_page_by_offset(spark):

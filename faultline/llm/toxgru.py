@@ -33,7 +33,7 @@ WINDOW, STRIDE = 64, 48
 BUCKETS, SIZES = 1 << 14, (2, 3, 4)
 CHARS, OWN, HIDDEN, FOCUS = 8, 8, 8, 8
 VOCABULARY, SEEN = 8000, 15
-EPOCHS, BATCH = 10, 256
+EPOCHS, BATCH, STEPS = 10, 256, 300  # rounds over the windows, at least so many batches
 THRESHOLD = 0.3
 CHUNK, TOGETHER = 1_000_000, 4096
 
@@ -245,13 +245,15 @@ def train(rows: list[tuple[str | None, int]], rates: tuple[float, float], seed:
         if not label:
             starts.append(int(rng.integers(0, max(1, len(w) - WINDOW + 1))))
         samples += [(w[s : s + WINDOW], label) for s in starts]
+    samples += [([], 0.0)] * max(8, len(samples) // 50)  # no word at all is no sign of toxicity
     net = Network.new(vocabulary, seed)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     t, label = 0, np.array([s[1] for s in samples], _F)
     # each class weighs as it stands in the corpus, softened
     importance = np.where(label == 1, rates[1], rates[0]).astype(_F) ** _F(0.5)
     importance /= importance.mean()
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(samples)))
+    for epoch in range(epochs):
         order = rng.permutation(len(samples))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
@@ -271,7 +273,7 @@ def train(rows: list[tuple[str | None, int]], rates: tuple[float, float], seed:
             origin = (at, of + 1, np.concatenate([[_F(0)], scale]), np.concatenate([[0], own]))
             g = _gradients(net, distinct, x, origin, ids, live, label[some], importance[some])
             t += 1
-            rate = 0.01 * (1 - 0.8 * epoch / EPOCHS)
+            rate = 0.01 * (1 - 0.8 * epoch / epochs)
             for k, v in net.p.items():
                 d = g[k].astype(_F) + (_F(1e-4) * v if k not in ("chars", "own") else _F(1e-5) * v)
                 m = moment[k]
@@ -280,6 +282,8 @@ def train(rows: list[tuple[str | None, int]], rates: tuple[float, float], seed:
                 v -= (rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-7)).astype(_F)
     scorer = Scorer(net)
     raw = np.concatenate([scorer.logits([t for t, _ in rows[i : i + 200]]) for i in range(0, len(rows), 200)])
+    none = max(8, len(y) // 50)
+    raw, y = np.append(raw, np.repeat(scorer.logits([""]), none)), np.append(y, np.zeros(none, _F))
     net.slope, net.shift = _calibrate(raw, y, np.where(y == 1, rates[1], rates[0]))
     return net
 

@@ -74,10 +74,11 @@ def forward_backward(field: Field, scores: np.ndarray, of: np.ndarray, lengths:
     first = np.exp(field.start).astype(np.float32)
     total = np.zeros((len(lengths), len(field.langs)))
     for docs in _groups(lengths):
+        docs = docs[lengths[docs] > 0]
+        if not len(docs):
+            continue
         size = lengths[docs]
         longest = int(size[0])
-        if not longest:
-            continue
         active = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than t
         place = begin[docs]
         e = np.zeros((longest, len(docs), len(first)), np.float32)

@@ -38,18 +38,25 @@ def numbered(df: DataFrame, groups: list[str], spread: str, order_by: list[str],
 
 
 class Memo(dict):
-    """A function's values by argument; `map(memo.__getitem__, items)` fills it. Call `trim` between batches."""
+    """A function's values by argument; `map(memo.__getitem__, items)` fills it. Call `trim` between batches.
+
+    Of two generations, the older one goes when the newer is full; what is asked for again moves to the newer.
+    """
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
-    def trim(self, most: int = 300_000) -> None:
+    def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
+            self.older = dict(self)
             self.clear()
 
 

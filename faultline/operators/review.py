@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text
 from faultline.schemas import PAGE_SIZE, REVIEW_DISPLAY_COLUMNS, REVIEW_THRESHOLD
+from faultline.session import dense_number
 
 ACTIONS = {"purge": "Purged by user", "reprocess": "Reprocessed by user"}
 
@@ -80,8 +81,10 @@ def results_filter(results: DataFrame, search: str = "", resolution: str = "All"
     return out if low_confidence is None else out.filter(F.col("Confidence_Score") <= low_confidence)
 
 
-def results_display(results: DataFrame) -> DataFrame:
-    return results.withColumn("Requires_Review", F.when(F.col("Requires_Review"), "YES").otherwise("NO"))
+def results_display(results: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """YES or NO for the review flag and, given an order, a row number from 1."""
+    shown = results.withColumn("Requires_Review", F.when(F.col("Requires_Review"), "YES").otherwise("NO"))
+    return dense_number(shown, order_by, "_n").withColumn("Row", F.col("_n") + 1).drop("_n") if order_by else shown
 
 
 def review_display(queue: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import embedding
-from faultline.operators import audit, code_index
+from faultline.operators import audit, code_index, review
+from faultline.plans import q_review  # noqa: F401  its checks are used here
 from faultline.plans import triage as jobs
 from faultline.plans.q_code import _CHUNKS
 from faultline.plans.q_kb import _KB, embedded_kb
 from faultline.plans.q_text import RUN_TS, raw_log
-from faultline.plans.registry import query
+from faultline.plans.registry import CHECKS, query
 from faultline.plans.standins import view, with_views
 from faultline.schemas import CLASS_LABELS
 from faultline.session import cut, shared_folder
@@ -47,7 +48,7 @@ def _(spark, sf):
         "\n", F.concat(F.lit("id: old"), F.col("k")), F.concat(F.lit("id:"), F.col("event_id")), F.concat(F.lit(" time : "), F.col("logtime")), F.lit("no separator here"),
         F.concat(F.lit("host:  "), F.col("machine"), F.lit(" ")), F.when(F.col("k") % 2 == 0, F.concat(F.lit("type: "), F.col("typ"))))
     view(spark, sf, "log").select(lines.alias("value")).write.option("lineSep", "\n\n").text(folder)
-    return files.scan_exceptions(spark, folder)
+    return files.scan_exceptions(spark, folder, "id string, time string, host string, type string")
 
 
 @query("scan_kb", with_views("kbfile") + "SELECT * REPLACE (nullif(EVENT_INFORMATION, '') AS EVENT_INFORMATION, nullif(Resolution, '') AS Resolution) FROM kbfile")
@@ -61,15 +62,18 @@ def _(spark, sf):
 @query("scan_code", with_views("code") + "SELECT file_path, content FROM code")
 def _(spark, sf):
     """Documents written out as source files, one each, and read back."""
-    folder = scratch(spark, "tree").removeprefix("file:")
+    folder = scratch(spark, "tree")
+    uri = folder if ":" in folder else f"file://{folder}"
 
     def put(rows) -> None:
-        from pathlib import Path
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(uri)  # the shared folder, wherever it is
         for r in rows:
-            target = Path(folder) / r.file_path
-            target.parent.mkdir(parents=True, exist_ok=True)
-            target.write_text(r.content, encoding="utf-8", newline="")
+            target = f"{base}/{r.file_path}"
+            store.create_dir(target.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(target) as out:
+                out.write(r.content.encode("utf-8"))
 
     view(spark, sf, "code").select("file_path", "content").repartition(8).foreachPartition(put)
     return files.scan_code(spark, folder).select("file_path", "content")
@@ -85,6 +89,42 @@ def _(spark, sf):
     return spark.read.parquet(folder).filter(F.col("run_id") == "r1")
 
 
+@query("write_results_csv", with_views("results") + "SELECT Exception_ID, Resolution, CAST(Confidence_Score AS VARCHAR) AS Confidence_Score, 'r1' AS run_id FROM results")
+def _(spark, sf):
+    folder = scratch(spark, "results")
+    rows = view(spark, sf, "results").select("Exception_ID", "Resolution", "Confidence_Score")
+    for _ in range(2):  # a run written again replaces itself
+        files.write_results(rows, folder, "r1", "csv")
+    return spark.read.option("header", True).option("escape", '"').csv(folder)
+
+
+@query("module_extract", with_views("exc") + "SELECT Exception_ID, Module, Exception_Type FROM exc WHERE Module = 'Payment'")
+def _(spark, sf):
+    folder = scratch(spark, "extract")
+    files.module_extract(view(spark, sf, "exc").select("Exception_ID", "Module", "Exception_Type"), MODULE, folder)
+    return files.scan_csv(spark, folder, "Exception_ID string, Module string, Exception_Type string", multi_line=False)
+
+
+@query("write_json_text", CHECKS["summary_json"])
+def _(spark, sf):
+    folder = scratch(spark, "summary")
+    files.write_json_text(audit.summary_json(view(spark, sf, "results"), MODULE, RUN_TS), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "summary")
+
+
+@query("results_numbered", with_views("results") + "SELECT Exception_ID, row_ord, CASE WHEN Requires_Review THEN 'YES' ELSE 'NO' END AS Requires_Review, row_number() OVER (ORDER BY row_ord) AS Row FROM results")
+def _(spark, sf):
+    shown = view(spark, sf, "results").select("Exception_ID", "row_ord", "Requires_Review")
+    return review.results_display(shown, ["row_ord"])
+
+
+@query("review_page_after", with_views("queue") + "SELECT review_id FROM queue WHERE review_id > (SELECT review_id FROM queue ORDER BY review_id LIMIT 1 OFFSET 19) ORDER BY review_id LIMIT 20")
+def _(spark, sf):
+    queue = view(spark, sf, "queue")
+    last = queue.orderBy("review_id").limit(20).agg(F.max("review_id")).first()[0]
+    return review.review_page_after(queue, last, 20).select("review_id")
+
+
 @query("review_snapshot", with_views("queue") + "SELECT review_id, 'Completed' AS Review_Status FROM queue")
 def _(spark, sf):
     folder = scratch(spark, "queue")

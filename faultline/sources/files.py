@@ -8,45 +8,58 @@ from pyspark.sql import types as T
 
 from faultline.functions.text import SPACE, strip
 from faultline.schemas import CODE_EXTENSIONS, SKIPPED_FOLDERS
+from faultline.session import spread
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header and quoted JSON cells (`""` escapes, line breaks inside quotes)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return (reader.schema(schema) if schema else reader).csv(path)
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quoted JSON cells (`""` escapes).
+
+    With `multi_line`, cells may hold line breaks and a file is read by one task; without it, large files are
+    split. Either way the rows are spread over all cores.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+    return spread((reader.schema(schema) if schema else reader).csv(path))
+
+
+def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """JSON, one object a line (files are split), or with `multi_line` one array or object a file."""
+    reader = spark.read.option("multiLine", multi_line)
+    return spread((reader.schema(schema) if schema else reader).json(path))
 
 
-def scan_kv_blocks(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def scan_kv_blocks(spark: SparkSession, path: str, keys: list[str] | None = None, whole_files: bool = False, line_end: str = "\n") -> DataFrame:
     """Text log of `key: value` lines in blocks separated by blank lines: one row per block.
 
-    Columns are the union of all keys; a repeated key keeps its last value. Files are split at blank
-    lines so large ones are read in parallel; `whole_files` is for files with CRLF or blanks in the
-    separator lines.
+    `keys` become columns; without them there is one column `fields`, a map of all keys. A repeated key keeps
+    its last value. Files are split at blank lines so large ones are read in parallel; `line_end` is
+    "\\r\\n" for large files with such ends. `whole_files` reads each file as one text in one task: for small
+    files with mixed line ends or blanks in the separator lines.
     """
     if whole_files:
         blocks = spark.read.text(path, wholetext=True).select(
             F.explode(F.split(F.regexp_replace("value", "\r\n?", "\n"), r"\n[\t\x0b\f \x{a0}]*(?=\n)")).alias("value")
         )
     else:
-        blocks = spark.read.text(path, lineSep="\n\n")
+        blocks = spark.read.text(path, lineSep=line_end * 2)
+        if line_end != "\n":
+            blocks = blocks.select(F.replace("value", F.lit(line_end), F.lit("\n")).alias("value"))
     lines = F.filter(F.split("value", "\n"), lambda s: s.contains(":"))
     pairs = F.transform(lines, lambda s: F.struct(
         strip(F.substring_index(s, ":", 1)).alias("k"), strip(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("v"), ))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
     rows = blocks.select(F.map_from_entries(last).alias("m")).filter(F.size("m") > 0)
-    keys = sorted(r["k"] for r in rows.select(F.explode(F.map_keys("m")).alias("k")).distinct().collect())  # column names
-    return rows.select(*[F.col("m")[k].alias(k) for k in keys])
+    return rows.select(*[F.col("m")[k].alias(k) for k in keys]) if keys else rows.select(F.col("m").alias("fields"))
 
 
 def scan_exceptions(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Exception log by file extension: csv, json or txt."""
+    """Exception log by file extension: csv, json or txt; a text log takes its columns from the schema's names."""
     if path.endswith(".csv"):
         return scan_csv(spark, path, schema)
     if path.endswith(".json"):
-        reader = spark.read.option("multiLine", True)
-        return (reader.schema(schema) if schema else reader).json(path)
+        return scan_json(spark, path, schema)
     if path.endswith(".txt"):
-        return scan_kv_blocks(spark, path)
+        named = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return scan_kv_blocks(spark, path, named.names if named else None)
     raise ValueError(f"Unsupported file format: {path}")
 
 

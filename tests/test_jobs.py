@@ -104,7 +104,7 @@ def test_scan_code_rules(spark, tmp_path):
 
 def test_key_value_blocks(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a: 1\nb: x:y\nnothing\na: 2\n\n\n\nc : 3\r\n \r\na: 4\n")
-    got = [r.asDict() for r in files.scan_kv_blocks(spark, str(tmp_path / "l.txt"), whole_files=True).collect()]
+    got = [r.asDict() for r in files.scan_kv_blocks(spark, str(tmp_path / "l.txt"), ["a", "b", "c"], whole_files=True).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [{"a": "2", "b": "x:y", "c": None}, {"a": None, "b": None, "c": "3"}, {"a": "4", "b": None, "c": None}]))
 
 

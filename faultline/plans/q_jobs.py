@@ -180,7 +180,12 @@ def _(spark, sf):
     kb, embedder = embedded_kb(spark, sf)
     kb = cut(kb)
     stream = streams.read_log_stream(spark, arriving, log.schema, max_files=1)
-    streams.stream_triage(stream, lambda batch: jobs.triage(batch, kb, embedder, MODULE, RUN_TS), out, state).awaitTermination()
+    answers = view(spark, sf, "answers").select("row_ord", "raw_answer")
+
+    def run(batch: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return jobs.triage_batch(batch, leaders, kb, embedder, MODULE, RUN_TS, answers=answers)
+
+    streams.stream_triage(stream, run, out, scratch(spark, "leaders"), state).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -101,12 +101,10 @@ def with_row_order(df: DataFrame) -> DataFrame:
     return dense_number(df, ["Timestamp", "Exception_ID"], "row_ord")
 
 
-def representative_table(log: DataFrame, run_ts: str, module: str) -> tuple[DataFrame, DataFrame]:
-    """(representatives, bridge of group to exception id) of a raw log."""
+def grouped_log(log: DataFrame, run_ts: str, module: str, leaders: DataFrame | None = None) -> DataFrame:
+    """A raw log cleaned and grouped, by itself or after known `leaders`."""
     cleaned = saved(with_row_order(clean.clean_exceptions(log, run_ts, module)))
-    grouped = saved(neardup.near_dup_groups(cleaned))
-    reps = grouping.representatives(grouped)
-    return reps, grouped.select("Dedup_Group_ID", "Exception_ID")
+    return saved(neardup.near_dup_groups(cleaned) if leaders is None else neardup.follow_leaders(cleaned, leaders))
 
 
 def classify(reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -170,9 +168,20 @@ def triage(log: DataFrame, kb: DataFrame, embedder, module: str, run_ts: str, an
 
     `answers` and `labels` are recorded answers of a model by row order; without them `answer_fn` is asked.
     """
-    reps, bridge = representative_table(log, run_ts, module)
-    results = cut(analyze(cut(reps), kb, embedder, module, answer_fn, answers, labels))
-    return grouping.expand_groups(results, bridge).select(*RESULT_COLUMNS, "Classified_Type")
+    return triage_groups(grouped_log(log, run_ts, module), kb, embedder, module, answer_fn, answers, labels)
+
+
+def triage_groups(grouped: DataFrame, kb: DataFrame, embedder, module: str, answer_fn: Callable | None = None, answers: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Result rows of a grouped log: representatives are analysed, their results given to all rows of the group."""
+    reps = cut(grouping.representatives(grouped))
+    results = cut(analyze(reps, kb, embedder, module, answer_fn, answers, labels))
+    return grouping.expand_groups(results, grouping.id_table(grouped, "Dedup_Group_ID")).select(*RESULT_COLUMNS, "Classified_Type")
+
+
+def triage_batch(log: DataFrame, leaders: DataFrame, kb: DataFrame, embedder, module: str, run_ts: str, **recorded) -> tuple[DataFrame, DataFrame]:
+    """(results, new leaders) of a part of a log that arrives after the given leaders."""
+    grouped = grouped_log(log, run_ts, module, leaders)
+    return triage_groups(grouped, kb, embedder, module, **recorded), neardup.leaders_of(grouped)
 
 
 def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, embedder, answer_fn: Callable | None = None, answers: DataFrame | None = None, top_k: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from faultline.operators import audit, code_index, kb as kb_ops
+from faultline.operators import audit, code_index, kb as kb_ops, neardup
 from faultline.sources import tables
 
 
@@ -25,10 +25,19 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
 
-def stream_triage(stream: DataFrame, run: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, audit_path: str | None = None, module: str = "Unknown", run_ts: str = "") -> StreamingQuery:
-    """Run a batch job on every arriving batch; optionally one audit row per batch."""
+def stream_triage(stream: DataFrame, run: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], out: str, leaders: str, checkpoint: str, audit_path: str | None = None, module: str = "Unknown", run_ts: str = "") -> StreamingQuery:
+    """Run a batch job on every arriving batch; optionally one audit row per batch.
+
+    `run` gets the batch and the leaders of earlier batches, and gives results and new leaders. Leaders are
+    stored by batch and a batch sees only those before it, so a replayed batch does the same again.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        _replace_batch(run(batch), out, batch_id)
+        spark = batch.sparkSession
+        kind = f"{neardup.LEADER_COLUMNS}, batch_id bigint"
+        known = spark.read.schema(kind).parquet(leaders) if tables.table_exists(spark, leaders) else spark.createDataFrame([], kind)
+        results, found = run(batch, known.filter(F.col("batch_id") < batch_id).drop("batch_id"))
+        _replace_batch(found, leaders, batch_id)
+        _replace_batch(results, out, batch_id)
         if audit_path:
             done = batch.sparkSession.read.parquet(out).filter(F.col("batch_id") == batch_id)
             entry = audit.audit_entry(done, F.count_if("Requires_Review"), f"batch_{batch_id}", module, run_ts, 0.0)

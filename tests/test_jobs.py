@@ -89,7 +89,8 @@ def test_stream_batches_replace_themselves(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     for attempt in ("s1", "s2"):
         stream = streams.read_log_stream(spark, str(tmp_path / "in"), rows.schema, max_files=1)
-        streams.stream_triage(stream, lambda b: b, str(tmp_path / "out"), str(tmp_path / attempt), str(tmp_path / "audit"), "M", "2024-01-01 00:00:00").awaitTermination()
+        none = spark.createDataFrame([], neardup.LEADER_COLUMNS)
+        streams.stream_triage(stream, lambda b, leaders: (b, none), str(tmp_path / "out"), str(tmp_path / "leaders"), str(tmp_path / attempt), str(tmp_path / "audit"), "M", "2024-01-01 00:00:00").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
     assert tables.audit_scan(spark, str(tmp_path / "audit")).agg(F.sum("Total_Records")).first()[0] == rows.count()
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from faultline.functions import events, text
 from faultline.operators import clean, context, grouping, kb, neardup, vectors
+from conftest import SF
 from faultline.plans import triage
+from faultline.plans.standins import view
 
 
 def test_top_k_is_honoured(spark):
@@ -90,3 +92,16 @@ def test_one_bad_prompt_fails_alone(spark):
     got = {r.prompt: (r.raw_answer, r.error) for r in triage.score_with_callable(df, model, "prompt").collect()}
     assert got == {"a": ("A", None), "bad": (None, "no"), "b": ("B", None)}
     assert {r.raw_answer for r in triage.score_with_callable(df, wrong_number, "prompt").collect()} == {"only one"}
+
+
+def test_groups_go_on_over_batches(spark):
+    exc = view(spark, SF, "exc").select("row_ord", "Exception_ID", "Exception_Type", "Exception_Message", "Error_Code")
+    whole = {r.row_ord: r.leader_ord for r in neardup.near_dup_groups(exc).collect()}
+    edge = exc.selectExpr("percentile(row_ord, 0.5)").first()[0]
+    first = neardup.follow_leaders(exc.where(F.col("row_ord") < edge), spark.createDataFrame([], neardup.LEADER_COLUMNS))
+    first = spark.createDataFrame(first.collect(), first.schema)
+    second = neardup.follow_leaders(exc.where(F.col("row_ord") >= edge), neardup.leaders_of(first))
+    group_of = {r.row_ord: r.Dedup_Group_ID for r in [*first.collect(), *second.collect()]}
+    assert group_of.keys() == whole.keys()
+    assert all(group_of[row] == group_of[leader] for row, leader in whole.items())
+    assert len(set(group_of.values())) == len(set(whole.values()))

@@ -30,6 +30,8 @@ from faultline.session import saved
 
 #: Fingerprints in a tile; larger cells are cut by hash.
 TILE = 2048
+#: Parts that a large component is divided into where its rows meet its representative.
+PARTS = 64
 #: Shingles hashed before their bits are counted.
 CHUNK = 200_000
 
@@ -214,7 +216,10 @@ def keep_first(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     keys = rows.groupBy("_key_id", "_key_text").agg(F.count(F.lit(1)).alias("_times"), F.first("root").alias("root"), F.first("doc_id").alias("doc_id"))
     keys = saved(keys)
     best = keys.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key_text"), F.col("_key_id"))).alias("_best")).where("_n > 1")
-    later = keys.join(best, "root").where("not (_key_id = _best._key_id and _key_text = _best._key_text)").select("_key_id", "_key_text")
+    # a component may hold a third of the keys: its one best row meets them in several parts
+    best = best.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    parted = keys.withColumn("_part", F.pmod(F.xxhash64("_key_id", "_key_text"), F.lit(PARTS)).cast("int"))
+    later = parted.join(best, ["root", "_part"]).where("not (_key_id = _best._key_id and _key_text = _best._key_text)").select("_key_id", "_key_text")
     later = saved(later)
     twice = saved(keys.where("_times > 1").join(later, ["_key_id", "_key_text"], "left_anti").select("_key_id", "_key_text"))
     if twice.isEmpty():

@@ -20,26 +20,39 @@ def tokenizer_path(name: str) -> str:
 # fixed values of byte-level vocabularies: how a text falls into runs that are encoded alone, and the letters that stand for bytes
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+# Unicode versions of the tokenizers and regex libraries may tell letters and numbers apart differently only here (tested for every code point)
+_ODD = regex.compile(
+    "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U00010000-\U0001efff\U0002a6e0-\U0010ffff]")
 # end of fixed values
 _LETTER = dict(zip((b for b in range(256) if b not in _PLAIN), map(chr, range(256, 512))))
 
 
+class _OddRun(Exception):
+    """A run with a code point of _ODD; it is never kept, so every text with one is noticed."""
+
+
 class Subwords:
     """Byte-level ids (below 65,536) of whole texts, as little-endian 16-bit integers, by the tokenizer's own model.
 
     A text is cut at single spaces between other characters, where no run of the tokenizer crosses. Words repeat,
     so the ids of a piece, and of the runs in it, are looked up if they were met before. A text with other white space
-    next to a space falls into runs as a whole. `most` bounds the pieces and
+    next to a space falls into runs as a whole. A text that holds the content of an added token, or a code point on which
+    the run pattern and the library may differ, goes through the library's own call. `most` bounds the pieces and
     the runs kept (of each up to twice as many, some 200 bytes apiece).
     """
 
     def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model, self.most = Tokenizer.from_file(path).model, most
+        self.whole, self.most = Tokenizer.from_file(path), most
+        self.model = self.whole.model
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.runs = Memo(self._run)
         self.pieces = Memo(self._piece)
 
     def _run(self, run: str) -> bytes:
+        if _ODD.search(run):
+            raise _OddRun
         letters = run.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTER)
         return array.array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
@@ -51,24 +64,39 @@ class Subwords:
             raise KeyError(piece)
         return self._runs_in(" " + piece)
 
+    def _whole(self, text: str) -> bytes:
+        return array.array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def word(self, word: bytes) -> bytes:
         """Ids of a word after a space."""
-        return self._runs_in(" " + word.decode("utf-8", "replace"))
+        text = " " + word.decode("utf-8", "replace")
+        try:
+            return self._runs_in(text)
+        except _OddRun:
+            return self._whole(text)
 
     def trim(self) -> None:
         self.runs.trim(self.most)
         self.pieces.trim(self.most)
 
+    def _text(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        try:
+            if first.strip() != first or not first and rest:
+                raise KeyError
+            return self._runs_in(first) + b"".join(map(self.pieces.__getitem__, rest))
+        except KeyError:  # a piece that is empty, or begins or ends with white space
+            return self._runs_in(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            first, *rest = text.split(" ")
             try:
-                if first.strip() != first or not first and rest:
-                    raise KeyError
-                out.append(self._runs_in(first) + b"".join(map(self.pieces.__getitem__, rest)))
-            except KeyError:  # a piece that is empty, or begins or ends with white space
-                out.append(self._runs_in(text))
+                out.append(self._text(text))
+            except _OddRun:
+                out.append(self._whole(text))
         self.trim()
         return out
 

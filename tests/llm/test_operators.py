@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from faultline.llm import contamination, imatch, langcrf, lmscore, maintext, mixing, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.queries import QUERIES
-from faultline.llm.subwords import tokenizer_path
+from faultline.llm.subwords import _ODD, _RUNS, Subwords, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -233,6 +233,23 @@ def test_token_files(spark, odd, monkeypatch):
     assert tokenfiles.read_files(spark, tokenfiles.write_files(odd.limit(0), tokenizer_path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_ids_are_those_of_the_library_by_default(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), Subwords(path)
+    ids = lambda t: tok.encode(t, add_special_tokens=False).ids
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "one\ua7dd two", "a \U0001f600b 12", "\U00010940 \u0558s", "\U00012550\U00033000 z"]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in own.encode([*texts, *texts])] == 2 * [ids(t) for t in texts] and ids(texts[0]) == [64, 220, 50256, 275]
+    # every code point that goes the fast way falls into the library's runs
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        if not _ODD.search(c):
+            text = f"a{c}{c}1 {c} !{c}\t"
+            assert [len(r) for r in _RUNS.findall(text)] == [b - a for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)], hex(ord(c))
+    docs = [(1, "before"), (2, texts[0]), (3, texts[4]), (4, "after")]
+    got = tokenfiles.read_files(spark, tokenfiles.write_files(spark.createDataFrame(docs, "doc_id long, text string"), path)).orderBy("start").collect()
+    assert [np.frombuffer(bytes(r.ids), np.uint16).tolist() for r in got] == [[*ids(t), 0] for _, t in docs]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+
+
 # ---- 5 and 9 ----------------------------------------------------------------------------------------------------
 
 

@@ -169,6 +169,19 @@ def test_windows_score_every_id_once_with_its_context():
     assert (by_class[1:] < 0).all() and by_class[0] == 0
 
 
+def test_every_id_after_the_first_window_has_nine_ids_of_context():
+    counts = np.ones((4, lmscore.END + 1), int)
+    model = lmscore.train([], counts, counts[3], tokenizer_path("byte_bpe_50k.json"))
+    model.p["o0"] = np.random.default_rng(1).normal(size=model.p["o0"].shape).astype(np.float32)
+    ids = np.concatenate([[lmscore.END], np.random.default_rng(2).integers(0, 500, 100), [lmscore.END]])
+    kinds = np.array([-1] + [0] * 101)
+    scores = lambda x: lmscore.id_scores(model, model.tables(), x, kinds)[0]
+    for t in range(10, 102):
+        changed = ids.copy()
+        changed[t - 9] = 777
+        assert scores(changed)[t] != scores(ids)[t], t
+
+
 def test_counts_and_base_score(spark, odd):
     train = fold(F.col("doc_id"), 5) != 1
     got = lmscore.score(spark, odd, train, tokenizer_path("byte_bpe_50k.json")).toPandas()

@@ -505,6 +505,29 @@ def test_a_template_without_an_article(spark):
     assert got == {i: f"Text {i} of its own" for i in range(8)}
 
 
+def test_class_words_around_an_article_lose_nothing(spark):
+    for around in ("<body class='has-sidebar'>{}", "<body class='search'>{}", "<div class='share'>{}</div>", "<div class='with-ads'>{}</div>"):
+        rows = [(i, "http://h.example/", around.format(f"<article><p>Text {i}</p><div class='share'>no</div></article>")) for i in range(4)]
+        got = maintext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {i: f"Text {i}" for i in range(4)}, around
+    assert maintext.read_slots("<aside><article>teaser</article></aside><article>text</article>", frozenset()) == ["text"]
+
+
+def test_a_template_has_a_fixed_order_and_nests(spark):
+    # "one" and "two" stand on every page, but not in one order; "left" and "right" do; so do "in" and "out", which overlap with them on some pages
+    line = lambda *x: "".join(f"<p>{t}</p>" for t in x)
+    moved = [line("one", f"own {i}", "two") if i % 2 else line("two", f"own {i}", "one") for i in range(8)]
+    kept = [line("left", f"own {i}", "right") for i in range(8)]
+    crossed = [line("a", "b", "c", f"own {i}", *["x", "y"]) if i < 7 else line("a", "x", "b", "y", "c", f"own {i}") for i in range(8)]
+    crossed[6] = line("a", "b", "c", "own 6")  # x and y have another vector than a, b and c
+    rows = [(100 * k + i, f"http://h{k}.example/", page) for k, pages in enumerate((moved, kept, crossed)) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text.split("\n\n") for r in maintext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == (["one", f"own {i}", "two"] if i % 2 else ["two", f"own {i}", "one"])
+        assert got[100 + i] == [f"own {i}"]
+        assert got[200 + i] == {6: ["own 6"], 7: ["x", "y", "own 7"]}.get(i, [f"own {i}", "x", "y"])
+
+
 # ---- all --------------------------------------------------------------------------------------------------------
 
 

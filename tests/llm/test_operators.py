@@ -200,6 +200,17 @@ def test_counts_and_base_score(spark, odd):
     assert np.isfinite(lmscore.score(spark, odd, F.lit(False), tokenizer_path("byte_bpe_50k.json")).toPandas().score).all()
 
 
+def test_scores_do_not_follow_the_blocks(spark, monkeypatch):
+    rows = [(i, f"the word of w{i % 5} and unseen{i} the end", None, None, None) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    scores = []
+    for size in (lmscore.BLOCK, 20):
+        monkeypatch.setattr(lmscore, "BLOCK", size)
+        got = lmscore.score(spark, docs, F.col("doc_id") < 20, tokenizer_path("byte_bpe_50k.json")).toPandas().sort_values("doc_id")
+        scores.append(got.score.to_numpy())
+    assert np.allclose(*scores, atol=1e-3)
+
+
 # ---- 4 ----------------------------------------------------------------------------------------------------------
 
 

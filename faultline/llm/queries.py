@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import contamination, imatch, langcrf, lmscore, maintext, mixing, sharding, simhash, tokenfiles, toxgru
+from faultline.llm import contamination, imatch, langcrf, linkgraph, lmscore, maintext, mixing, orchard, repair, sharding, simhash, tokenfiles, toxgru
 from faultline.llm.common import fold
 from faultline.llm.subwords import tokenizer_path
 from faultline.session import ship
@@ -138,3 +138,83 @@ def op9_shards(spark, sf_dir):
 def op10_main_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return maintext.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op11_host_graph(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return linkgraph.judge(pages.select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _fits(host: str, path: str, prefix: str = "") -> str:
+    return f"({prefix}host = '{host}' OR ends_with({prefix}host, '.{host}')) AND starts_with({prefix}path, '{path}')"
+
+
+def _graph_sql() -> str:
+    ordered = sorted(linkgraph.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] != "block"))
+    rule = " ".join(f"WHEN {_fits(h, p)} THEN '{h + p}'" for _, h, p in ordered)
+    verdict = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    hidden = linkgraph._HIDDEN.replace("'", "''")
+    link = linkgraph._LINK.replace("'", "''")
+    return rf"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(html, '') AS html, {lower.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+p AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS said FROM u),
+l AS (SELECT row_number() OVER () AS i, host AS source, list_distinct(list_transform(regexp_extract_all(regexp_replace(html, '{hidden}', ' ', 'g'), '{link}', 1),
+  lambda x: {lower.format("x")})) AS links FROM u WHERE host <> '' AND html <> ''),
+e AS (SELECT source, target, count(*)::DOUBLE AS n FROM (SELECT source, unnest(links) AS target FROM l) WHERE source <> target GROUP BY ALL),
+f AS (SELECT source AS a, target AS b, n / sum(n) OVER (PARTITION BY source) AS forth, n / sum(n) OVER (PARTITION BY target) AS back FROM e),
+w AS (SELECT a, b, sum(forth) AS forth, sum(back) AS back FROM (SELECT a, b, forth, 0.0 AS back FROM f UNION ALL SELECT b, a, 0.0, back FROM f) GROUP BY ALL),
+c AS (SELECT host, path, said, count(*) AS n FROM p WHERE host <> '' GROUP BY ALL
+  UNION ALL SELECT host, path, CASE {verdict} END, 1 FROM (SELECT DISTINCT target AS host, '/' AS path FROM e WHERE target NOT IN (SELECT host FROM p))),
+s AS (SELECT host, coalesce(sum(n) FILTER (said = 'allow'), 0)::DOUBLE AS t, coalesce(sum(n) FILTER (said = 'block'), 0)::DOUBLE AS d FROM c WHERE said IS NOT NULL GROUP BY host),
+r AS (SELECT 0 AS k, host, {1 - linkgraph.DAMPING} * t AS t, {1 - linkgraph.DAMPING} * d AS d FROM s
+  UNION ALL SELECT r.k + 1, w.b, {linkgraph.DAMPING} * sum(r.t * w.forth), {linkgraph.DAMPING} * sum(r.d * w.back) FROM r JOIN w ON w.a = r.host
+    WHERE r.k < {linkgraph.ROUNDS} GROUP BY r.k, w.b HAVING sum(r.t * w.forth) > 0 OR sum(r.d * w.back) > 0),
+h AS (SELECT host, round(sum(d) / (sum(t) + sum(d)), 9) > {linkgraph.THRESHOLD} AS bad FROM r GROUP BY host)
+SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.said, CASE WHEN h.bad THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN h ON h.host = p.host
+"""
+
+
+CHECKS["op11_host_graph"] = _graph_sql()
+
+
+@query
+def op12_repair(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair.repair(repair.damage(rows)).withColumnRenamed("conv_id", "_id")
+    nothing = F.sha2(F.lit(""), 256)
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    gaps = F.when(F.col("audit").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("gaps")).alias("gaps")
+    return every.select("conv_id", gaps, *counts[1:], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+@query
+def op13_orchard(spark, sf_dir):
+    found = orchard.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _cluster_sql() -> str:
+    steps = []
+    nearest = """a{0} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m), c := c)) AS x
+  FROM p, c{0} GROUP BY rid)"""
+    for k in range(orchard.ROUNDS):
+        steps.append(nearest.format(k))
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(n.m, c{k}.m) AS m FROM c{k} LEFT JOIN (SELECT c, list(floor(s / n) ORDER BY i) AS m
+  FROM (SELECT x.c AS c, i, sum(v[i]) AS s, count(*)::DOUBLE AS n FROM a{k}, range(1, {orchard.DIMENSIONS + 1}) AS g(i) GROUP BY ALL) GROUP BY c) AS n ON n.c = c{k}.c)""")
+    steps.append(nearest.format(orchard.ROUNDS))
+    last = orchard.ROUNDS
+    return f"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({orchard.SCALE} * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = {orchard.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {orchard.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{orchard.SALT}' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v AS m FROM p QUALIFY c < {orchard.CENTROIDS}),
+{(","+chr(10)).join(steps)}
+SELECT vec_id, CAST(x.c AS INTEGER) AS cluster, CAST(x.d AS BIGINT) AS distance, CAST(sum(x.d) OVER (PARTITION BY x.c) AS BIGINT) AS cluster_inertia, CAST(sum(x.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(m, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON c{last}.c = x.c
+"""
+
+
+CHECKS["op13_orchard"] = _cluster_sql()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import schemas
+from faultline.operators import neardup
 
 
 def _fs(spark: SparkSession, path: str):
@@ -62,6 +63,22 @@ def loaded_modules(spark: SparkSession, path: str) -> DataFrame:
     return read_kb(spark, path).select("module").distinct()
 
 
+def append_message_index(rows: DataFrame, path: str) -> None:
+    """Add the messages of knowledge-base rows to the stored index, those that are not in it yet.
+
+    The index is partitioned by length band, so that a search reads the bands in reach only.
+    """
+    spark = rows.sparkSession
+    fresh = neardup.message_index(rows, codes=False)
+    if table_exists(spark, path):
+        fresh = fresh.join(read_message_index(spark, path).select("_t", "_band", "_msg"), ["_t", "_band", "_msg"], "left_anti")
+    fresh.repartition("_band").write.mode("append").partitionBy("_band").parquet(path)
+
+
+def read_message_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(neardup.INDEX_COLUMNS).parquet(path)
+
+
 def append_audit(entry: DataFrame, path: str, batch_id: int | str) -> None:
     """Append an audit row under its batch; the same batch written again replaces itself."""
     entry.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)

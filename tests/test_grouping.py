@@ -49,13 +49,12 @@ def random_rows(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,seeds,block", [(1, 3, 8), (2, 5, 16), (3, 512, 512)])
-def test_groups_equal_sequential_rule(spark, monkeypatch, seed, seeds, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup._packed, "__defaults__", (block,))
+@pytest.mark.parametrize("seed,seeds,block,step", [(1, 3, 8, neardup.BAND_STEP), (2, 5, 16, 0.03), (3, 512, 512, 0.5), (4, 20, 4, 0.1)])
+def test_groups_equal_sequential_rule(spark, monkeypatch, seed, seeds, block, step):
+    monkeypatch.setattr(neardup._packed, "__defaults__", (block, 1000 * block, step))
     rows = random_rows(160, seed)
     df = spark.createDataFrame(rows, "row_ord long, Exception_Type string, Exception_Message string, Error_Code string")
-    got = {r.row_ord: r.leader_ord for r in neardup.near_dup_groups(df, seeds=seeds).collect()}
+    got = {r.row_ord: r.leader_ord for r in neardup.near_dup_groups(df, seeds=seeds, step=step).collect()}
     assert got == sequential(rows)
 
 
@@ -108,3 +107,77 @@ def test_no_row_is_lost_in_expansion(spark):
 def test_large_group_lists_only_its_size(spark):
     df = spark.range(150).select(F.lit("G").alias("Dedup_Group_ID"), F.col("id").cast("string").alias("Exception_ID"))
     assert grouping.listed_ids(df, "Dedup_Group_ID", 100).first().Original_Exception_IDs == "G (150 exceptions)"
+
+
+def _edited(rnd, t):
+    out = list(t)
+    for _ in range(rnd.randint(0, max(1, len(t) // 7))):
+        at = rnd.randrange(len(out))
+        out[at:at + rnd.randint(0, 2)] = rnd.choice(["", "x", "ab", "7"])
+        out = out or ["x"]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("threshold,both_ways", [(0.85, True), (0.9, False), (0.6, True)])
+def test_bounds_of_long_texts_drop_no_similar_pair(threshold, both_ways):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 9))) for _ in range(60)] + ["QX-7", "zébre", "日本", "", "42!"]
+    base = [" ".join(rnd.choices(words, k=rnd.choice([5, 35, 60, 200]))) for _ in range(12)]
+    texts = base + [_edited(rnd, t) for t in base for _ in range(3)]
+    m = similarity.Matcher(texts, [""] * len(texts))
+    rows = np.arange(len(texts))
+    for i, maybe in zip(rows, m.maybe(m, rows, rows, threshold, both_ways)):
+        got = {int(r) for r in maybe if m.measured(m, int(i), int(r), threshold, both_ways, 1.0) is not None}
+        for j in rows:
+            s = SequenceMatcher(None, texts[j], texts[i]).ratio()
+            if both_ways and texts[i] != texts[j]:
+                s = (s + SequenceMatcher(None, texts[i], texts[j]).ratio()) / 2
+            assert (j in got) == (s >= threshold), (i, j)
+
+
+def test_few_unlike_messages_are_measured(monkeypatch):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(4000)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(4, 12))) for _ in range(3000)]
+    m = similarity.Matcher(texts, [""] * len(texts))
+    rows = np.arange(len(texts))
+    candidates = sum(len(x) - 1 for x in m.maybe(m, rows, rows, 0.85, True))
+    assert candidates < len(texts) ** 2 / 10_000
+
+
+def test_stored_index_finds_what_rows_find(spark, tmp_path):
+    from faultline.sources import tables
+
+    cols = "row_ord long, Exception_Type string, Exception_Message string, Error_Code string"
+    new, old = random_rows(150, 14), random_rows(200, 15)
+    path = str(tmp_path / "index")
+    for part in (old[:90], old[50:], old[:20]):  # overlapping parts: each message is stored once
+        tables.append_message_index(spark.createDataFrame(part, cols), path)
+    index = tables.read_message_index(spark, path)
+    assert index.count() == neardup.message_index(spark.createDataFrame(old, cols), codes=False).count()
+    assert any(p.name.startswith("_band=") for p in (tmp_path / "index").iterdir())
+    rows = spark.createDataFrame(new, cols)
+    got = {r.row_ord for r in neardup.kb_anti_similar(rows, index, indexed=True).collect()}
+    want = {a[0] for a in new if not any(a[1] == b[1] and a[2] and b[2] and SequenceMatcher(None, a[2], b[2]).ratio() >= 0.9 for b in old)}
+    assert got == want == {r.row_ord for r in neardup.kb_anti_similar(rows, spark.createDataFrame(old, cols)).collect()}
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_batches_group_as_one_log(spark, monkeypatch, seed):
+    monkeypatch.setattr(neardup, "INDEX_BLOCK", 5)
+    cols = "row_ord long, Exception_Type string, Exception_Message string, Error_Code string"
+    rows = random_rows(150, seed)
+    known, found = spark.createDataFrame([], neardup.LEADER_COLUMNS), {}
+    for part in (rows[:40], rows[40:90], rows[90:]):
+        grouped = neardup.follow_leaders(spark.createDataFrame(part, cols), known).cache()
+        found.update({r.row_ord: r.Dedup_Group_ID for r in grouped.collect()})
+        known = spark.createDataFrame((known.unionByName(neardup.leaders_of(grouped))).collect(), neardup.LEADER_COLUMNS)
+    whole = sequential(rows)
+    by_group = {}
+    for row, group in found.items():
+        by_group.setdefault(group, set()).add(row)
+    by_leader = {}
+    for row, leader in whole.items():
+        by_leader.setdefault(leader, set()).add(row)
+    assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_leader.values()))
+    assert known.count() == len(by_leader) == known.select("group_ord").distinct().count()

@@ -1,10 +1,15 @@
-"""Nearest-neighbour joins over vectors, exact.
-
-Vectors are packed into blocks: entries by hash into blocks of bounded size, queries as they lie in
-their partitions. A query block meets each entry block it must search by an equi join on the block
-number; one matrix product per meeting leaves at most k rows per query. Pairs of rows never exist as
-rows, and one module holding a third of everything is spread over its blocks. Entry blocks are broadcast
-only when their size is known to be small.
+"""Nearest-neighbour joins over vectors, exact, by cells.
+
+Entries of one search key (a module, or all) are dealt into cells: each goes to the nearest of some of the entries, drawn by
+hash. A cell knows its centre, its radius and how many it holds. A query first searches the cells whose centres
+are nearest, as many as hold k entries; its k-th distance then rules out every cell that lies, by the triangle inequality,
+wholly beyond it, and only the others are searched in a second pass. Up to `CELL` entries are one cell and need
+one pass.
+
+Both sides travel packed: entries in blocks of bounded size, queries as they lie in their partitions, by the cell they
+search. One matrix product per meeting leaves at most k rows per query. Pairs of rows never exist as rows, and one
+module holding a third of everything is spread over its cells and blocks. Sides are broadcast only when their size is known
+to be small.
 """
 
 from __future__ import annotations
@@ -18,10 +23,12 @@ from pyspark.sql import functions as F
 
 from faultline.operators.grouping import first_per
 from faultline.schemas import GOOD_MATCH
-from faultline.session import BROADCAST_LIMIT_BYTES, cut
+from faultline.session import BROADCAST_LIMIT_BYTES, cut, saved
 
 TOP_K = 5  # default number of hits
 ENTRY_BLOCK = 4096
+#: Entries a cell holds on average, and most cells of a search key.
+CELL, MAX_CELLS = 2048, 4096
 _DIGITS = 9  # distances are compared after rounding, so the order does not hang on the last bits
 
 
@@ -41,8 +48,8 @@ def blend(e1: Column, e2: Column, w: Column) -> Column:
     return F.transform(mixed, lambda x: x / norm)
 
 
-def _pack(keys: list[str]):
-    """Pack the rows of an Arrow batch that share `keys` into one row."""
+def _pack(keys: list[str], *more: str):
+    """Pack the rows of an Arrow batch that share `keys` into one row, with arrays of the columns `more`."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -51,13 +58,23 @@ def _pack(keys: list[str]):
                 row = dict(zip(keys, key))
                 row["q_ids"] = [part["q_id"].tolist()]
                 row["q_mat"] = [np.concatenate(part["vec"].to_list())]
+                row.update({c: [part[c].tolist()] for c in more})
                 yield pd.DataFrame(row)
 
     return run
 
 
-def _score(k: int, metric: str, per_module: bool):
-    """One meeting: the k nearest entries of every query, per entry module if asked."""
+def _distances(q: np.ndarray, e: np.ndarray, metric: str) -> np.ndarray:
+    dots = q @ e.T
+    qq, ee = (q * q).sum(axis=1)[:, None], (e * e).sum(axis=1)[None, :]
+    if metric == "l2":
+        return np.maximum(qq + ee - 2 * dots, 0.0)
+    norm = np.sqrt(qq * ee)  # an empty vector is similar to nothing
+    return np.maximum(1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0), 0.0)
+
+
+def _score(k: int, metric: str):
+    """One meeting: the k nearest entries of every query."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
@@ -66,81 +83,160 @@ def _score(k: int, metric: str, per_module: bool):
                 e = np.asarray(r.k_mat, dtype=np.float64).reshape(len(k_ids), -1)
                 order = np.argsort(k_ids, kind="stable")
                 k_ids, e, modules = k_ids[order], e[order], np.asarray(r.k_modules, dtype=object)[order]
-                if r.own is not None:
-                    far = np.array([m is None or m.replace(" ", "_").lower() != r.own for m in modules], dtype=bool)
-                    k_ids, e, modules = k_ids[far], e[far], modules[far]
-                    if not len(k_ids):
-                        continue
-                groups = [np.flatnonzero(modules == m) for m in pd.unique(modules)] if per_module else [np.arange(len(k_ids))]
+                n = min(k, len(k_ids))
                 for start in range(0, len(q_ids), 512):
                     some = q[start:start + 512]
-                    dots = some @ e.T
-                    qq, ee = (some * some).sum(axis=1)[:, None], (e * e).sum(axis=1)[None, :]
-                    if metric == "l2":
-                        d = qq + ee - 2 * dots
-                    else:  # an empty vector is similar to nothing
-                        norm = np.sqrt(qq * ee)
-                        d = 1 - np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0)
-                    d = np.round(np.maximum(d, 0.0), _DIGITS)
-                    for g in groups:
-                        dg, n = d[:, g], min(k, len(g))
-                        edge = np.partition(dg, n - 1, axis=1)[:, n - 1:n]
-                        rows, cols = np.nonzero(dg <= edge)
-                        by = np.lexsort((cols, dg[rows, cols], rows))
-                        rows, cols = rows[by], cols[by]
-                        first = np.searchsorted(rows, np.arange(len(some)))
-                        keep = np.arange(len(rows)) - first[rows] < n
-                        rows, cols = rows[keep], cols[keep]
-                        yield pd.DataFrame({
-                            "q_id": q_ids[start + rows], "module": modules[g[cols]], "kb_id": k_ids[g[cols]], "distance": dg[rows, cols],
-                        })
+                    d = np.round(_distances(some, e, metric), _DIGITS)
+                    edge = np.partition(d, n - 1, axis=1)[:, n - 1:n]
+                    rows, cols = np.nonzero(d <= edge)
+                    by = np.lexsort((cols, d[rows, cols], rows))
+                    rows, cols = rows[by], cols[by]
+                    first = np.searchsorted(rows, np.arange(len(some)))
+                    keep = np.arange(len(rows)) - first[rows] < n
+                    rows, cols = rows[keep], cols[keep]
+                    yield pd.DataFrame({
+                        "q_id": q_ids[start + rows], "pkey": r.key, "module": modules[cols], "kb_id": k_ids[cols], "distance": d[rows, cols],
+                    })
 
     return run
 
 
-def _entry_blocks(kb: DataFrame, by_module: bool) -> tuple[DataFrame, DataFrame, bool]:
-    """(blocks, number of blocks per key, whether the blocks are small enough to broadcast)."""
-    rows = kb.select(F.col("kb_id"), F.col("module"), module_key(F.col("module")).alias("mkey") if by_module else F.lit("").alias("mkey"), F.col("embedding").alias("vec"))
-    counts = cut(rows.groupBy("mkey").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")))
-    total = counts.agg(F.sum(F.col("n") * (F.col("dim") * 8 + 48)).alias("bytes")).first()["bytes"] or 0
-    sizes = counts.select("mkey", F.ceil(F.col("n") / ENTRY_BLOCK).cast("int").alias("n_blk"))
-    keyed = rows.join(sizes, "mkey").withColumn("blk", F.pmod(F.xxhash64("kb_id"), F.col("n_blk")).cast("int"))
-    packed = keyed.groupBy("mkey", "blk").agg(F.collect_list(F.struct("kb_id", "module", "vec")).alias("x")).select(
-        "mkey", "blk", F.col("x.kb_id").alias("k_ids"), F.col("x.module").alias("k_modules"), F.flatten("x.vec").alias("k_mat")
-    )
-    return packed, sizes, total <= BROADCAST_LIMIT_BYTES
+def _straight(v: np.ndarray, metric: str) -> np.ndarray:
+    """Vectors whose Euclidean distances order like the metric's: unit vectors for cosine, empty ones left empty."""
+    if metric == "l2":
+        return v
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
-def knn_join(queries: DataFrame, kb: DataFrame, k: int = TOP_K, metric: str = "l2", within_module: bool = True, per_module: bool = False, others: bool = False) -> DataFrame:
+def _to_cells(metric: str):
+    """Entries of a packed row with the number of their cell and their distance from its centre."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids = np.asarray(r.k_ids)
+                e = np.asarray(r.k_mat, dtype=np.float64).reshape(len(ids), -1)
+                centres = _straight(np.asarray(r.c_mat, dtype=np.float64).reshape(r.n_cells, -1), metric)
+                for start in range(0, len(ids), 1024):
+                    some = e[start:start + 1024]
+                    unit = _straight(some, metric)
+                    cell = np.argmin((centres * centres).sum(axis=1)[None, :] - 2 * unit @ centres.T, axis=1)
+                    off = np.sqrt(((unit - centres[cell]) ** 2).sum(axis=1))
+                    if metric != "l2":  # an empty vector has no direction: its cell is never ruled out
+                        off = np.where((some * some).sum(axis=1) > 0, off, np.inf)
+                    yield pd.DataFrame({
+                        "kb_id": ids[start:start + 1024], "module": np.asarray(r.k_modules, dtype=object)[start:start + 1024], "pkey": r.pkey, "cell": cell.astype(np.int32), "off": off,
+                        "vec": list(some),
+                    })
+
+    return run
+
+
+def _route(k: int, metric: str, second: bool):
+    """Queries by the cells they search: in the first pass the nearest that hold k entries, in the second the others in reach."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                ids = np.asarray(r.q_ids)
+                q = np.asarray(r.q_mat, dtype=np.float64).reshape(len(ids), -1)
+                cells, held, radius = np.asarray(r.cells), np.asarray(r.held), np.asarray(r.radius, dtype=np.float64)
+                centres = _straight(np.asarray(r.c_mat, dtype=np.float64).reshape(len(cells), -1), metric)
+                unit = _straight(q, metric)
+                away = np.sqrt(np.maximum((unit * unit).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :] - 2 * unit @ centres.T, 0.0))
+                order = np.argsort(away, axis=1, kind="stable")
+                before = np.cumsum(held[order], axis=1) - held[order]
+                go = np.zeros(away.shape, bool)
+                np.put_along_axis(go, order, before < k, axis=1)
+                if second:
+                    least = np.maximum(away - radius[None, :], 0.0) ** 2 / (1 if metric == "l2" else 2)
+                    if metric != "l2":
+                        least = np.where((q * q).sum(axis=1)[:, None] > 0, least, 0.0)
+                    go = ~go & (least <= np.asarray(r.kth, dtype=np.float64)[:, None] + 1e-7)
+                for c in np.flatnonzero(go.any(axis=0)):
+                    yield pd.DataFrame({"pkey": [r.pkey], "cell": [int(cells[c])], "q_ids": [ids[go[:, c]].tolist()], "q_mat": [q[go[:, c]].ravel()]})
+
+    return run
+
+
+def _packed_entries(rows: DataFrame, keys: list[str]) -> DataFrame:
+    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("kb_id", "module", "vec")).alias("x"))
+    return packed.select(*keys, F.col("x.kb_id").alias("k_ids"), F.col("x.module").alias("k_modules"), F.flatten("x.vec").alias("k_mat"))
+
+
+def entry_cells(kb: DataFrame, metric: str, cell: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """(entries with `cell`, cells of each search key in one row or None if each key is one cell, bytes of all entries).
+
+    `kb` = (kb_id, module, pkey, vec).
+    """
+    size = cell or CELL
+    counts = cut(kb.groupBy("pkey").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")))
+    facts = counts.agg(F.sum(F.col("n") * (F.col("dim") * 8 + 48)).alias("bytes"), F.max("n").alias("most")).first()
+    if (facts["most"] or 0) <= size:
+        return kb.withColumn("cell", F.lit(0)), None, facts["bytes"] or 0
+    wanted = counts.select("pkey", F.least(F.ceil(F.col("n") / size), F.lit(MAX_CELLS)).cast("int").alias("n_cells"))
+    drawn = first_per(kb.withColumn("_h", F.xxhash64("kb_id", F.lit("cell"))), ["pkey"], ["_h", "kb_id"], MAX_CELLS, rank="_r").join(wanted, "pkey").filter(F.col("_r") <= F.col("n_cells"))
+    centres = cut(drawn.groupBy("pkey").agg(F.array_sort(F.collect_list(F.struct("_r", "vec"))).alias("c")).select(
+        "pkey", F.size("c").alias("n_cells"), F.flatten("c.vec").alias("c_mat"), F.col("c.vec").alias("c_vecs")))
+    blocks = kb.join(wanted.select("pkey", F.ceil(F.col("n_cells") * size / ENTRY_BLOCK).alias("_n")), "pkey").withColumn("_b", F.pmod(F.xxhash64("kb_id"), F.col("_n")))
+    met = _packed_entries(blocks, ["pkey", "_b"]).join(centres.drop("c_vecs"), "pkey")
+    types = {c: kb.schema[c].dataType.simpleString() for c in ("kb_id", "module", "pkey")}
+    placed = saved(met.mapInPandas(_to_cells(metric), f"kb_id {types['kb_id']}, module string, pkey string, cell int, off double, vec array<double>"))
+    held = placed.groupBy("pkey", "cell").agg(F.count(F.lit(1)).alias("held"), F.max("off").alias("radius"))
+    each = centres.select("pkey", F.posexplode("c_vecs").alias("cell", "centre")).join(held, ["pkey", "cell"])
+    cells = cut(each.groupBy("pkey").agg(F.array_sort(F.collect_list(F.struct("cell", "held", "radius", "centre"))).alias("c")).select(
+        "pkey", F.col("c.cell").alias("cells"), F.col("c.held").alias("held"), F.col("c.radius").alias("radius"), F.flatten("c.centre").alias("c_mat")))
+    return placed.drop("off"), cells, facts["bytes"]
+
+
+def routes(packed: DataFrame, cells: DataFrame, k: int, metric: str, second: bool = False) -> DataFrame:
+    """(pkey, cell, q_ids, q_mat): packed queries (pkey, q_ids, q_mat, and `kth` in the second pass) by the cells they search."""
+    id_type = packed.schema["q_ids"].dataType.simpleString()
+    return packed.join(cells, "pkey").mapInPandas(_route(k, metric, second), f"pkey string, cell int, q_ids {id_type}, q_mat array<double>")
+
+
+def knn_join(queries: DataFrame, kb: DataFrame, k: int = TOP_K, metric: str = "l2", within_module: bool = True, per_module: bool = False, others: bool = False, cell: int | None = None) -> DataFrame:
     """(q_id, module, kb_id, distance, similarity, rank) of the k nearest entries of every query.
 
     `queries` = (q_id, module, vec), `kb` = (kb_id, module, embedding). `within_module` searches only the
     query's module; `per_module` keeps k per entry module instead of k in all; `others` leaves the query's
     own module out of a search over all of them.
     """
-    blocks, sizes, fits = _entry_blocks(kb, within_module)
     own = module_key(F.col("module"))
-    q = queries.select("q_id", (own if within_module else F.lit("")).alias("mkey"), "vec", *([own.alias("own")] if others else []))
-    id_type = q.schema["q_id"].dataType.simpleString()
-    kb_type = kb.schema["kb_id"].dataType.simpleString()
+    searched = own if within_module else F.col("module") if per_module or others else F.lit("")
+    entries, cells, n_bytes = entry_cells(kb.select("kb_id", "module", searched.alias("pkey"), F.col("embedding").alias("vec")), metric, cell)
+    q = queries.select("q_id", own.alias("pkey") if within_module else F.lit("").alias("pkey"), "vec", own.alias("_own"))
+    if not within_module and (per_module or others):  # a query searches each module by itself
+        slots = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        names = entries.select("pkey").distinct().withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        q = q.drop("pkey").withColumn("_slot", F.pmod(F.xxhash64("q_id"), F.lit(slots)).cast("int")).join(names, "_slot").drop("_slot")
+        q = q.filter(module_key(F.col("pkey")) != F.col("_own")) if others else q
+    id_type, kb_type = q.schema["q_id"].dataType.simpleString(), kb.schema["kb_id"].dataType.simpleString()
     vec_type = q.schema["vec"].dataType.simpleString()
-    keys = ["mkey", "own"] if others else ["mkey"]
-    packed = q.mapInPandas(_pack(keys), f"{', '.join(f'{c} string' for c in keys)}, q_ids array<{id_type}>, q_mat {vec_type}")
-    if not others:
-        packed = packed.withColumn("own", F.lit(None).cast("string"))
-    spread = packed.join(sizes, "mkey").withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n_blk") - 1)))
+    q = q.select("q_id", "pkey", "vec") if cells is None else saved(q.select("q_id", "pkey", "vec"))
+    packed = q.mapInPandas(_pack(["pkey"]), f"pkey string, q_ids array<{id_type}>, q_mat {vec_type}")
     # a fixed number of tasks: the work per byte is too high for partitions merged by size
     tasks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if fits:
-        blocks, spread = F.broadcast(blocks), spread.repartition(tasks)
+    sizes = entries.groupBy("pkey", "cell").agg(F.ceil(F.count(F.lit(1)) / ENTRY_BLOCK).cast("int").alias("n_blk"))
+    keyed = entries.join(sizes, ["pkey", "cell"]).withColumn("blk", F.pmod(F.xxhash64("kb_id"), F.col("n_blk")).cast("int"))
+    blocks = _packed_entries(keyed, ["pkey", "cell", "blk"])
+
+    def search(routed: DataFrame) -> DataFrame:
+        if n_bytes <= BROADCAST_LIMIT_BYTES:
+            met = routed.repartition(tasks).join(F.broadcast(blocks), ["pkey", "cell"])
+        else:
+            met = routed.repartition(tasks, "pkey", "cell").join(blocks, ["pkey", "cell"])
+        hits = met.select("q_ids", "q_mat", F.col("pkey").alias("key"), "k_ids", "k_modules", "k_mat").mapInPandas(_score(k, metric), f"q_id {id_type}, pkey string, module string, kb_id {kb_type}, distance double")
+        return first_per(hits, ["q_id", "pkey"], ["distance", "kb_id"], k)
+
+    if cells is None:
+        found = search(packed.withColumn("cell", F.lit(0)))
     else:
-        spread = spread.repartition(tasks, "mkey", "blk")
-    met = spread.join(blocks, ["mkey", "blk"])
-    hits = met.select("q_ids", "q_mat", "own", "k_ids", "k_modules", "k_mat").mapInPandas(
-        _score(k, metric, per_module), f"q_id {id_type}, module string, kb_id {kb_type}, distance double"
-    )
-    keys = ["q_id", "module"] if per_module else ["q_id"]
-    return first_per(hits, keys, ["distance", "kb_id"], k, rank="rank").withColumn("similarity", similarity(F.col("distance")))
+        near = cut(search(routes(packed, cells, k, metric)))
+        kth = near.groupBy("q_id", "pkey").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(float("inf")).alias("kth"))
+        again = q.join(kth, ["q_id", "pkey"]).mapInPandas(_pack(["pkey"], "kth"), f"pkey string, q_ids array<{id_type}>, q_mat {vec_type}, kth array<double>")
+        found = near.unionByName(search(routes(again, cells, k, metric, second=True)))
+    by = ["q_id", "pkey"] if per_module else ["q_id"]
+    return first_per(found, by, ["distance", "kb_id"], k, rank="rank").drop("pkey").withColumn("similarity", similarity(F.col("distance")))
 
 
 def kb_topk(queries: DataFrame, kb: DataFrame, top_k: int = TOP_K, metric: str = "l2") -> DataFrame:

@@ -41,6 +41,46 @@ def test_knn_equals_brute_force(spark, monkeypatch, metric):
     assert found == want
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("mode", [{}, {"within_module": False}, {"within_module": False, "per_module": True}, {"within_module": False, "per_module": True, "others": True}])
+def test_cells_equal_brute_force(spark, monkeypatch, metric, mode):
+    monkeypatch.setattr(vectors, "ENTRY_BLOCK", 9)
+    rnd = random.Random(8)
+    centres = [[rnd.gauss(0, 3) for _ in range(6)] for _ in range(5)]
+
+    def vec(i):
+        return [x + rnd.gauss(0, 0.3) for x in centres[i % 5]]
+
+    entries = [(i, rnd.choice(["a", "A", "b c", "d"]), vec(i)) for i in range(150)] + [(150 + i, "a", [0.0] * 6) for i in range(2)] + [(160 + i, "a", centres[0]) for i in range(9)]
+    queries = [(i, rnd.choice(["a", "B_c", "none"]), vec(i)) for i in range(40)] + [(41, "a", [0.0] * 6), (42, "a", centres[0])]
+    q, e = spark.createDataFrame(queries, "q_id long, module string, vec array<double>"), spark.createDataFrame(entries, "kb_id long, module string, embedding array<double>")
+    whole = sorted(map(tuple, vectors.knn_join(q, e, 4, metric, cell=10**6, **mode).collect()))
+    assert sorted(map(tuple, vectors.knn_join(q, e, 4, metric, cell=7, **mode).collect())) == whole
+    if not mode:
+        def dist(x, y):
+            if metric == "l2":
+                return sum((a - b) ** 2 for a, b in zip(x, y))
+            norm = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+            return 1 - (sum(a * b for a, b in zip(x, y)) / norm if norm else 0)
+
+        want = {i: sorted((round(max(dist(v, w), 0), 9), j) for j, em, w in entries if em.replace(" ", "_").lower() == m.lower())[:4] for i, m, v in queries}
+        got = {}
+        for r in sorted(whole, key=lambda r: (r[0], r[4])):
+            got.setdefault(r[0], []).append(r[2])
+        assert got == {i: [j for _, j in w] for i, w in want.items() if w}
+
+
+def test_cells_far_away_are_not_visited(spark):
+    rnd = random.Random(9)
+    centres = [[rnd.gauss(0, 5) for _ in range(16)] for _ in range(20)]
+    rows = [(i, "m", "m", [x + rnd.gauss(0, 0.1) for x in centres[i % 20]]) for i in range(2000)]
+    entries, cells, _ = vectors.entry_cells(spark.createDataFrame(rows, "kb_id long, module string, pkey string, vec array<double>"), "l2", 50)
+    q = spark.createDataFrame([("m", [i for i, *_ in rows[:200]], [x for r in rows[:200] for x in r[3]], [0.5] * 200)], "pkey string, q_ids array<bigint>, q_mat array<double>, kth array<double>")
+    n_cells = len(cells.first().cells)
+    visited = sum(len(r.q_ids) for second in (False, True) for r in vectors.routes(q, cells, 5, "l2", second).collect())
+    assert n_cells >= 20 and visited < 200 * n_cells / 3
+
+
 def test_cross_module_without_own_kb(spark):
     q = spark.createDataFrame([(1, "missing", [1.0, 0.0]), (2, "missing", [-1.0, 0.0])], "q_id long, module string, vec array<double>")
     k = spark.createDataFrame([(7, "m1", [1.0, 0.0]), (8, "m2", [0.9, 0.1])], "kb_id long, module string, embedding array<double>")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text, traces
 from faultline.functions.text import SPACE, let
+from faultline.operators import vectors
 from faultline.operators.grouping import first_per
-from faultline.session import cut
+from faultline.session import cut, saved
 
 # --- fixed values: where a chunk ends -------------------------------------------------------------
 CHUNK_LINES = 100
@@ -186,6 +187,24 @@ def snippets(direct: DataFrame, semantic: DataFrame, k: int = 5) -> DataFrame:
     return first_per(d.unionByName(s), ["Exception_ID"], ["match_type", "_o"], k, rank="snippet_no").drop("_o")
 
 
+def retrieved(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, embedder, k: int = 5, trace: str = "Stack_Trace") -> tuple[DataFrame, DataFrame]:
+    """(exceptions with `trace_id`, snippets by `trace_id`): one retrieval per distinct trace.
+
+    Traces repeat far more often than they differ. Each distinct one is parsed once; those whose frames give fewer than `k` chunks
+    are searched by vector over all chunks (with `kb_id` and `embedding`, from `indexed`). Null counts as an empty trace.
+    """
+    keyed = exceptions.withColumn("trace_id", F.sha2(text.text(trace), 256))
+    distinct = saved(keyed.groupBy("trace_id").agg(F.first(text.text(trace)).alias("_trace")))
+    frames = saved(exploded_frames(distinct.select(F.col("trace_id").alias("Exception_ID"), "_trace"), "_trace"))
+    direct = cut(direct_snippets(frames, files, chunks.drop("embedding", "kb_id")))
+    have = direct.groupBy(F.col("Exception_ID").alias("trace_id")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
+    wanted = embedder.transform(distinct.join(have, "trace_id", "left_anti"), "_trace", "vec").select(F.col("trace_id").alias("q_id"), "vec")
+    hits = vectors.code_topk(saved(wanted), chunks.select("kb_id", "embedding"), k).select("q_id", "kb_id", "rank")
+    semantic = hits.join(chunks.drop("embedding"), "kb_id").withColumnRenamed("q_id", "Exception_ID")
+    found = cut(snippets(direct, semantic, k)).withColumnRenamed("Exception_ID", "trace_id")
+    return keyed, found
+
+
 def indexed(files: DataFrame, embedder, overlap: int = 0) -> DataFrame:
     """Chunks with vectors (column `embedding`) and an id per chunk."""
     chunks = code_chunks(files, overlap).withColumn("kb_id", F.concat(F.col("file_path"), F.lit("__chunk_"), F.col("chunk_index").cast("string")))

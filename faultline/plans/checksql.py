@@ -91,3 +91,17 @@ def detail(name: str) -> str:
 
 def detail_or_fallback(name: str, payload: str) -> str:
     return f"CASE WHEN ok THEN {detail(name)} ELSE {fallback(name, payload)} END"
+
+
+#: A vector `v` as text, in hundred-thousandths.
+VECTOR_TEXT = "array_to_string(list_transform(v, lambda x: CAST(round(x::DOUBLE * 100000) AS BIGINT)), ',')"
+
+
+def embedded(tag: str, source: str, fitted: str, n_fitted: str, dimensions: int = 256) -> str:
+    """CTEs of the default embedder: `{tag}b` (buckets of `source` (id, txt)), `{tag}v` (id, v); weights come from CTE `{fitted}b`."""
+    return f"""{tag}b AS MATERIALIZED (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dimensions} AS b, count(*) AS tf
+  FROM (SELECT id, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source}) GROUP BY ALL),
+{tag}x AS (SELECT t.id, t.b, t.tf * ln(({n_fitted} + 1.0::DOUBLE) / (coalesce(i.df, 0) + 1)) AS x FROM {tag}b t LEFT JOIN (SELECT b, count(*) AS df FROM {fitted}b GROUP BY b) i ON i.b = t.b),
+{tag}n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {tag}x GROUP BY id),
+{tag}v AS MATERIALIZED (SELECT s.id, list(coalesce(x.x / nullif(n.n, 0), 0)::FLOAT ORDER BY g.b) AS v FROM {source} s CROSS JOIN range({dimensions}) AS g(b)
+  LEFT JOIN {tag}x x ON x.id = s.id AND x.b = g.b LEFT JOIN {tag}n n ON n.id = s.id GROUP BY s.id)"""

@@ -80,40 +80,52 @@ def _(spark, sf):
     return out.select("file_path", "line_number", "chunk_index", "line_start", "line_end")
 
 
-# vector hits given as a list: five files per exception, first chunk of each
-_SEM = "SELECT e.Exception_ID, r.rank, (e.row_ord * r.rank) % 200 AS file_ord FROM exc e, (SELECT CAST(unnest(range(1, 6)) AS INT) AS rank) r"
-_SNIP = _LOCATED.rstrip() + f""",
+_CHUNK_TEXTS = """cs AS MATERIALIZED (SELECT file_path || '__chunk_' || chunk_index AS id, content AS txt, file_path, chunk_index FROM ck)"""
+_CHUNK_VECTORS = _CHUNK_TEXTS + ", " + q.embedded("c", "cs", "c", "(SELECT count(*) FROM cs)")
+# distinct traces against all chunks
+_SNIP = _LOCATED.rstrip() + ", " + _CHUNK_VECTORS + """,
+tr AS MATERIALIZED (SELECT DISTINCT coalesce(Stack_Trace, '') AS id, coalesce(Stack_Trace, '') AS txt FROM exc),
 di AS (SELECT CAST(uf.row_ord AS STRING) AS Exception_ID, 0 AS kind, uf.frame_no AS o, pk.file_path, pk.chunk_index, uf.line_number AS target_line FROM uf JOIN ff ON ff.frame_path = uf.file_path JOIN pk ON pk.file_path = ff.file_path AND pk.line_number = uf.line_number),
-sm AS ({_SEM}),
-se AS (SELECT sm.Exception_ID, 1 AS kind, sm.rank AS o, ck.file_path, ck.chunk_index, CAST(NULL AS INT) AS target_line FROM sm JOIN ck ON ck.file_ord = sm.file_ord AND ck.chunk_index = 0
-  LEFT JOIN (SELECT Exception_ID, count(*) AS n FROM di GROUP BY 1) h ON h.Exception_ID = sm.Exception_ID WHERE sm.rank <= 5 - coalesce(h.n, 0)),
+""" + q.embedded("t", "tr", "c", "(SELECT count(*) FROM cs)") + """,
+nd AS (SELECT t.id, t.v, list_dot_product(t.v::DOUBLE[], t.v::DOUBLE[]) AS tt FROM tv t),
+ne AS (SELECT id, v, list_dot_product(v::DOUBLE[], v::DOUBLE[]) AS ee FROM cv),
+nn AS MATERIALIZED (SELECT q_id, x.d AS d, x.kb_id AS kb_id FROM (SELECT t.id AS q_id,
+  min(struct_pack(d := round(greatest(0, tt + ee - 2 * list_dot_product(t.v::DOUBLE[], e.v::DOUBLE[])), 9), kb_id := e.id), 5) AS xs FROM nd t, ne e GROUP BY t.id) y, unnest(xs) AS u(x)),
+sm AS (SELECT q_id, kb_id, row_number() OVER (PARTITION BY q_id ORDER BY d, kb_id) AS rank FROM nn),
+se AS (SELECT e.Exception_ID, 1 AS kind, sm.rank AS o, cs.file_path, cs.chunk_index, CAST(NULL AS INT) AS target_line FROM exc e JOIN sm ON sm.q_id = coalesce(e.Stack_Trace, '') JOIN cs ON cs.id = sm.kb_id
+  LEFT JOIN (SELECT Exception_ID, count(*) AS n FROM di GROUP BY 1) h ON h.Exception_ID = e.Exception_ID WHERE sm.rank <= 5 - coalesce(h.n, 0)),
 sn AS (SELECT *, CAST(row_number() OVER (PARTITION BY Exception_ID ORDER BY kind, o) AS INT) AS snippet_no FROM (SELECT * FROM di UNION ALL SELECT * FROM se) x QUALIFY snippet_no <= 5)
 """
 
 
-def _snippets(spark: SparkSession, sf: str) -> DataFrame:
-    ch = cut(chunks(spark, sf))
-    direct = code_index.direct_snippets(frames(spark, sf), view(spark, sf, "code"), ch)
-    ranked = view(spark, sf, "exc").select("Exception_ID", "row_ord", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("rank"))
-    ranked = ranked.withColumn("file_ord", F.col("row_ord") * F.col("rank") % 200)
-    semantic = ranked.join(ch.filter(F.col("chunk_index") == 0), "file_ord")
-    return code_index.snippets(direct, semantic)
+def indexed_code(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, embedding.TermEmbedder]:
+    """(files, chunks with vectors, embedder fitted on the chunks)."""
+    source = view(spark, sf, "code")
+    embedder = embedding.TermEmbedder.fit(saved(code_index.code_chunks(source)), "content")
+    return source, code_index.indexed(source, embedder), embedder
+
+
+def _snippets(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    source, ch, embedder = indexed_code(spark, sf)
+    keyed, found = code_index.retrieved(view(spark, sf, "exc").select("Exception_ID", "Stack_Trace"), source, ch, embedder)
+    return keyed.select("Exception_ID", "trace_id"), found
 
 
 @query("snippets", _SNIP + "SELECT Exception_ID, snippet_no, CASE kind WHEN 0 THEN 'direct' ELSE 'semantic' END AS match_type, file_path, chunk_index, target_line FROM sn")
 def _(spark, sf):
-    return _snippets(spark, sf).select("Exception_ID", "snippet_no", "match_type", "file_path", "chunk_index", "target_line")
+    keyed, found = _snippets(spark, sf)
+    return keyed.join(found, "trace_id").select("Exception_ID", "snippet_no", "match_type", "file_path", "chunk_index", "target_line")
 
 
 @query("code_summary", _SNIP + """, sx AS (SELECT sn.*, ck.line_start, ck.line_end FROM sn JOIN ck ON ck.file_path = sn.file_path AND ck.chunk_index = sn.chunk_index)
 SELECT Exception_ID, concat_ws(chr(10), 'Analyzed ' || count(*) || ' code file(s):', string_agg('  ' || snippet_no || '. ' || regexp_extract(file_path, '([^/]*)$', 1) || ' (lines ' || line_start || '-' || line_end || ') - '
 || CASE kind WHEN 0 THEN 'direct' ELSE 'semantic' END || ' match', chr(10) ORDER BY snippet_no) FILTER (snippet_no <= 3), CASE WHEN count(*) > 3 THEN '  ... and ' || (count(*) - 3) || ' more' END) AS summary FROM sx GROUP BY 1""")
 def _(spark, sf):
-    return context.code_summary(_snippets(spark, sf))
+    keyed, found = _snippets(spark, sf)
+    summary = context.code_summary(found.withColumnRenamed("trace_id", "Exception_ID")).withColumnRenamed("Exception_ID", "trace_id")
+    return keyed.join(summary, "trace_id").select("Exception_ID", "summary")
 
 
-@query("code_embed")
+@query("code_embed", "WITH " + _CHUNKS.rstrip() + ", " + _CHUNK_VECTORS + f""" SELECT id AS kb_id, {q.VECTOR_TEXT} AS embedding FROM cv""")
 def _(spark, sf):
-    files = view(spark, sf, "code")
-    embedder = embedding.TermEmbedder.fit(code_index.code_chunks(files), "content")
-    return code_index.indexed(files, embedder).select("kb_id", "embedding")
+    return indexed_code(spark, sf)[1].select("kb_id", embedding.vector_text("embedding").alias("embedding"))

@@ -167,10 +167,9 @@ def _(spark, sf):
     return rounded(vectors.best_match(vectors.kb_topk(vector_queries(spark, sf), view(spark, sf, "kbvec"))).withColumn("rank", F.lit(1))).select("q_id", "kb_id", "similarity")
 
 
-@query("cross_module", _VEC + f""", good AS (SELECT q_id FROM own WHERE rnk = 1 AND greatest(0, 1 - d) >= 0.7),
-cand AS (SELECT q_id, module, greatest(0, 1 - d) AS s, module = q_module AS mine FROM every WHERE rnk = 1 AND q_id NOT IN (SELECT q_id FROM good)),
-pick AS (SELECT q_id, module FROM cand WHERE mine OR s > 0 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY s DESC, mine DESC, module) = 1)
-SELECT {_HIT} FROM own WHERE q_id IN (SELECT q_id FROM good) UNION ALL SELECT {_HIT.replace('q_id, module', 'e.q_id, e.module')} FROM every e JOIN pick p ON p.q_id = e.q_id AND p.module = e.module""")
+@query("cross_module", _VEC + f""", cand AS (SELECT q_id, module, greatest(0, 1 - d) AS s, module = q_module AS mine FROM every WHERE rnk = 1),
+pick AS (SELECT q_id, module FROM cand WHERE mine OR s > 0 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY mine AND s >= 0.7 DESC, s DESC, mine DESC, module) = 1)
+SELECT {_HIT.replace('q_id, module', 'e.q_id, e.module')} FROM every e JOIN pick p ON p.q_id = e.q_id AND p.module = e.module""")
 def _(spark, sf):
     return rounded(vectors.cross_module(vector_queries(spark, sf), view(spark, sf, "kbvec")))
 
@@ -192,9 +191,10 @@ def embedded_kb(spark: SparkSession, sf: str) -> tuple[DataFrame, embedding.Term
     return embedder.transform(entries, "document", "embedding"), embedder
 
 
-@query("kb_embed")
+@query("kb_embed", _KB.rstrip() + """, ke AS MATERIALIZED (SELECT module || '_' || row_ord || '_' || substr(signature, 1, 8) AS id, coalesce(document, '') AS txt, module FROM ak), """
+       + q.embedded("k", "ke", "k", "(SELECT count(*) FROM ke)") + f""" SELECT ke.id AS kb_id, module, {q.VECTOR_TEXT} AS embedding FROM kv JOIN ke ON ke.id = kv.id""")
 def _(spark, sf):
-    return embedded_kb(spark, sf)[0].select("kb_id", "module", "embedding")
+    return embedded_kb(spark, sf)[0].select("kb_id", "module", embedding.vector_text("embedding").alias("embedding"))
 
 
 _CASE = ("'Exception Type: Kind' || f.module || chr(10) || 'Stack Trace Match: ' || chr(10) || 'Inner Exception: ' || chr(10) || 'Error Code: ' || f.kb_id || chr(10) || "

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions import events, scoring, text, traces
+from faultline.functions import events, scoring, text
 from faultline.operators import clean, code_index, context, grouping, kb as kb_ops, neardup, vectors
 from faultline.schemas import RESULT_COLUMNS
 from faultline.session import cut, dense_number, saved
@@ -185,19 +185,14 @@ def triage_batch(log: DataFrame, leaders: DataFrame, kb: DataFrame, embedder, mo
 
 
 def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, embedder, answer_fn: Callable | None = None, answers: DataFrame | None = None, top_k: int = 5) -> DataFrame:
-    """Code-aware analysis: snippets for every trace, prompt, checked answer, boosted confidence, review flag.
+    """Code-aware analysis: snippets for every distinct trace, prompt, checked answer, boosted confidence, review flag.
 
     `files` = (file_path, file_ord); `chunks` come from `code_index.indexed`.
     """
-    frames = saved(code_index.exploded_frames(exceptions.select("Exception_ID", "Stack_Trace")))
-    direct = cut(code_index.direct_snippets(frames, files, chunks))
-    queries = embedder.transform(exceptions.select(F.col("Exception_ID").alias("q_id"), "Stack_Trace"), "Stack_Trace", "vec").select("q_id", "vec")
-    hits = vectors.code_topk(queries, chunks.select("kb_id", "embedding"), top_k)
-    semantic = hits.join(chunks.drop("embedding"), "kb_id").withColumnRenamed("q_id", "Exception_ID")
-    found = cut(code_index.snippets(direct, semantic, top_k))
-    listed = context.snippet_list(found)
-    n = found.groupBy("Exception_ID").agg(F.count(F.lit(1)).alias("n_snippets"))
-    rows = exceptions.join(listed, "Exception_ID", "left").join(n, "Exception_ID", "left")
+    keyed, found = code_index.retrieved(exceptions, files, chunks, embedder, top_k)
+    by_trace = found.withColumnRenamed("trace_id", "Exception_ID")
+    listed = context.snippet_list(by_trace, top_k).join(by_trace.groupBy("Exception_ID").agg(F.count(F.lit(1)).alias("n_snippets")), "Exception_ID")
+    rows = keyed.join(listed.withColumnRenamed("Exception_ID", "trace_id"), "trace_id", "left")
     d = F.struct(F.col("Exception_Type").alias("exception_type"), F.col("Exception_Message").alias("message"), F.col("Stack_Trace").alias("stack_trace"))
     parts = context.code_prompt(d, F.col("snippets"), F.lit(None).cast("string"))
     asked = rows.select("Exception_ID", F.coalesce("n_snippets", F.lit(0)).alias("n_snippets"), context.within_budget(parts["essential"], parts["code"]).alias("prompt"))
@@ -215,8 +210,3 @@ def code_analysis(exceptions: DataFrame, files: DataFrame, chunks: DataFrame, em
         scoring.code_review_rule(confidence, "code_issue_found", F.col("answer.resolution")).alias("requires_review"),
     )
 
-
-def code_context(exceptions: DataFrame) -> DataFrame:
-    """Frames, header and error context of every trace as columns."""
-    out = exceptions.withColumn("frames", traces.unique_frames(traces.stack_frames("Stack_Trace")))
-    return out.withColumn("header", traces.trace_header("Stack_Trace"))

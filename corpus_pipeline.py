@@ -2,13 +2,14 @@
 
 Each stage gets the Parquet that the one before has written, and works on all of it:
 
-1. language: documents without a language (no letters, or no language holds three words in ten) go;
+1. language: documents without a language (no letters) go;
 2. near duplicates: of each group of linked fingerprints the document with the smallest id stays;
 3. contamination: documents of which a twentieth or more stands in benchmark passages go;
 4. mixing: sources are brought to their target weights; a document taken twice stands twice;
 5. shards: eight of near equal bytes, as shard and slot per document.
 
-A null text is without a language. Extra columns are kept up to the last stage. An empty table gives no rows.
+A null text is without a language. Extra columns, whatever their names, are kept as they are up to the last stage. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import contamination, langcrf, mixing, sharding, simhash
-from faultline.llm.common import fold
+from faultline.llm.common import fold, packed
 from faultline.session import shared_folder, ship
 
 #: The stages take labels, links and weights that plain SQL doesn't express.
@@ -34,17 +35,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_first(docs)
+    return simhash.keep_first(packed(docs, "doc_id", "text")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination.clean(packed(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_row.*")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0")
-    return mixed.select(*[f"`{c}`" for c in docs.columns])
+    mixed = mixing.mix(packed(docs, "doc_id", "text", "source")).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

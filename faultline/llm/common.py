@@ -74,3 +74,8 @@ def sized_join(rows: DataFrame, keys: DataFrame, how: str, most: int = 500_000)
     if keys.limit(most + 1).count() <= most:
         keys = F.broadcast(keys)
     return rows.withColumns(key_of_row()).join(keys, ["_key_id", "_key_text"], how).drop("_key_id", "_key_text")
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """All columns in one struct `_row`, whatever their names, beside the ones an operator needs; `select("_row.*")` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row"), *needed)

@@ -5,8 +5,8 @@ seen in the sample; learned transitions tie neighbouring words together. Trainin
 several documents, so that switches of language within a text are seen. Words are labelled by
 forward-backward over the whole text, however long; a document's language is the one with the most expected words.
 
-The field is fitted on about `SAMPLE` labelled documents, chosen by a digest of doc_id (the bound of the fit;
-prediction covers all rows). Only the text is an input of a prediction.
+The field is fitted on about `SAMPLE` labelled documents, chosen by a digest of doc_id, but on about `LEAST` of each language at
+least (the bound of the fit; prediction covers all rows). Only the text is an input of a prediction.
 
 Defined results: a null text or one without letters gets `und`, score 0; words without letters are no
 evidence; repeated rows get equal answers; ties go to the smaller language code; with no labelled row every
@@ -23,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.llm.words import bounded, grams, has_letter, letters, sums_by
+from faultline.llm.common import packed
+from faultline.llm.words import grams, has_letter, letters, sums_by
 
-#: Documents that the field is fitted on, about.
-SAMPLE = 3000
+#: Documents that the field is fitted on, about; least of each language, and most languages.
+SAMPLE, LEAST, LANGUAGES = 3000, 50, 200
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 #: Words of a training sequence, sequences for each document, rounds.
@@ -194,10 +196,20 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field | None:
     return Field(langs, weights, lexicon, trust, moves, start)
 
 
-def learn(docs: DataFrame, most: int = SAMPLE) -> Field | None:
-    """Fits the field on about `most` rows of (doc_id, text, lang)."""
+def learn(docs: DataFrame, most: int = SAMPLE, least: int = LEAST, languages: int = LANGUAGES) -> Field | None:
+    """Fits the field on a sample of (doc_id, text, lang): about `most` rows, but `least` of each language (all if it has fewer).
+
+    Of more than `languages` languages the most frequent ones are learned.
+    """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return fit([(r["text"], r["lang"]) for r in bounded(rows, F.col("doc_id"), most).select("text", "lang").collect()])
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["lang"]: r["n"] for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not n:
+        return None
+    share = most / sum(n.values())
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
+    wanted = F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(int(min(1.0, max(share, least / v)) * (1 << 30))))]), F.col("lang"))
+    return fit([(r["text"], r["lang"]) for r in rows.where(draw < wanted).select("text", "lang").collect()])
 
 
 class Labeller:
@@ -250,9 +262,9 @@ class Labeller:
 
 def identify(spark: SparkSession, docs: DataFrame, field: Field | None, spans: bool = False) -> DataFrame:
     """All columns of `docs` with `lang_pred`, `score` and, if asked for, `spans` (runs of words in one language)."""
-    extra = ", spans array<struct<lang: string, words: long>>" if spans else ""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in kept]).schema.fields) + ", lang_pred string, score double" + extra
+    kind = T.StructType(docs.select(*[f"`{c}`" for c in kept]).schema.fields).add("lang_pred", "string").add("score", "double")
+    kind = kind.add("spans", T.ArrayType(T.StructType().add("lang", "string").add("words", T.LongType()))) if spans else kind
     if field is None:
         out = docs.select(*[f"`{c}`" for c in kept]).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
         return out.withColumn("spans", F.expr("cast(array() as array<struct<lang: string, words: bigint>>)")) if spans else out
@@ -278,6 +290,6 @@ def identify(spark: SparkSession, docs: DataFrame, field: Field | None, spans: b
     return docs.mapInArrow(run, kind)
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, field: Field | None, least: float = 0.3) -> DataFrame:
-    """Documents with a language: not `und`, and some language holds at least `least` of the words."""
-    return identify(spark, docs, field).where(F.col("lang_pred") != "und").where(F.col("score") >= least).select(*docs.columns)
+def keep_identified(spark: SparkSession, docs: DataFrame, field: Field | None) -> DataFrame:
+    """Documents that have a language, whatever their columns are called."""
+    return identify(spark, packed(docs, "text"), field).where(F.col("lang_pred") != "und").select("_row.*")

@@ -38,6 +38,7 @@ from faultline.session import saved
 
 #: Pages below which a host has no template of its own, and the share of pages a class needs.
 FEW, SHARE = 3, 0.6
+_HALF = (1 << 32) - 1  # vectors are summed as two halves of a digest
 #: Tokens that a valid class has at least.
 LARGE = 2
 #: Hosts up to which templates are sent to all tasks.
@@ -208,19 +209,23 @@ def templates(pages: DataFrame) -> DataFrame:
             for h, key, page in zip(*(batch.column(c) for c in ("_host", "_key", "html"))):
                 seed = key.as_py() & 0xFFFFFFFFFFFF
                 for t, n in tokens(page.as_py()).items():
-                    x = found.setdefault((h.as_py(), t), [0, 0])
+                    x = found.setdefault((h.as_py(), t), [0, 0, 0])
+                    digest = xxhash.xxh64_intdigest(b"%d:%d" % (seed, n))
                     x[0] += 1
-                    x[1] ^= xxhash.xxh64_intdigest(b"%d:%d" % (seed, n)) >> 1
+                    x[1] += digest & _HALF
+                    x[2] += digest >> 32 & _HALF
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()),
-                 pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())],
-                ["host", "token", "n", "vector"])
+                 *(pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3))],
+                ["host", "token", "n", "low", "high"])
 
     rows = pages.select(host(F.col("url")).alias("_host"), F.xxhash64("url", "html").alias("_key"), F.col("html").cast("string").alias("html"))
-    counted = saved(rows.mapInArrow(run, "host string, token string, n long, vector long").groupBy("host", "token").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector")))
+    # sums, so that a page that stands twice counts twice instead of cancelling itself
+    sums = [F.sum(c).alias(c) for c in ("n", "low", "high")]
+    counted = saved(rows.mapInArrow(run, "host string, token string, n long, low long, high long").groupBy("host", "token").agg(*sums))
     # text is no token of the template that all hosts share
-    shared = counted.where("token = '' or token like '<%'").groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("vector").alias("vector")).select(F.lit(None).cast("string").alias("host"), "token", "n", "vector")
-    counted = counted.unionByName(shared)
+    shared = counted.where("token = '' or token like '<%'").groupBy("token").agg(*sums).select(F.lit(None).cast("string").alias("host"), "token", "n", "low", "high")
+    counted = counted.unionByName(shared).select("host", "token", "n", F.xxhash64("low", "high").alias("vector"))
     sizes = counted.where("token = ''").select(F.col("host").alias("_h"), F.col("n").alias("pages"))
     near = counted.where("token <> ''").join(sizes, F.col("host").eqNullSafe(F.col("_h"))).where((F.col("pages") >= FEW) & (F.col("n") >= SHARE * F.col("pages")))
     classes = near.groupBy("host", "vector").agg(F.first("pages").alias("pages"), F.max("n").alias("n"), F.collect_list("token").alias("tokens"))

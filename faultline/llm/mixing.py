@@ -28,6 +28,8 @@ from faultline.session import saved
 WEIGHTS = (3, 1, 2)
 #: Total of the mix and the most of one source, in sizes of the input.
 SHARE, MOST = 1.5, 2.0
+#: Up to this many sources (some 10 MB) their table is sent to all tasks.
+MOST_SENT = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -77,8 +79,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return level.select("_mix_source", "_mix_total", F.coalesce(F.least(F.col("_mix_cap"), F.col("_mix_level") * F.col("_mix_weight")), F.col("_mix_cap")).alias("_mix_target"))
 
 
-def plan(rows: DataFrame, sizes: DataFrame, slices: int) -> DataFrame:
-    """One row per source: target, whole epochs, and up to which key the rest is taken, with the document closing the gap."""
+def plan(rows: DataFrame, sizes: DataFrame, slices: int, sent=F.broadcast) -> DataFrame:
+    """One row per source: target, whole epochs, and up to which key the rest is taken, with the document closing the gap.
+
+    `sent` is applied to tables of a row per source before they are joined.
+    """
     epochs = F.when(F.col("_mix_total") > 0, F.floor(F.col("_mix_target") / F.col("_mix_total"))).otherwise(0)
     goal = targets(sizes).withColumn("_mix_epochs", epochs.cast("int"))
     goal = saved(goal.withColumn("_mix_rest", F.col("_mix_target") - F.col("_mix_epochs") * F.col("_mix_total")))
@@ -88,11 +93,11 @@ def plan(rows: DataFrame, sizes: DataFrame, slices: int) -> DataFrame:
     per = src.groupBy("_mix_source", "_mix_slice").agg(F.sum("_mix_size").alias("_s"))
     run = W.partitionBy("_mix_source").orderBy("_mix_slice")
     per = per.withColumn("_upto", F.sum("_s").over(run)).alias("p")
-    met = per.join(F.broadcast(goal.select("_mix_source", "_mix_rest").alias("g")), same_named("p", "g")).where("_upto > _mix_rest")
+    met = per.join(sent(goal.select("_mix_source", "_mix_rest").alias("g")), same_named("p", "g")).where("_upto > _mix_rest")
     edge = saved(met.groupBy(F.col("p._mix_source").alias("_mix_source")).agg(
         F.min("_mix_slice").alias("_edge"), F.min_by(F.col("_upto") - F.col("_s"), "_mix_slice").alias("_full"), F.first("_mix_rest").alias("_mix_rest")))
 
-    near = src.alias("p").join(F.broadcast(edge.alias("g")), same_named("p", "g") & (F.col("p._mix_slice") == F.col("g._edge")))
+    near = src.alias("p").join(sent(edge.alias("g")), same_named("p", "g") & (F.col("p._mix_slice") == F.col("g._edge")))
     near = near.select(F.col("p._mix_source").alias("_mix_source"), "_mix_key", "_full", "_mix_rest", F.sum("_mix_size").over(W.partitionBy("p._mix_source").orderBy("_mix_key")).alias("_in"))
     taken = F.col("_full") + F.col("_in") <= F.col("_mix_rest")
     cut = near.groupBy("_mix_source").agg(
@@ -101,7 +106,7 @@ def plan(rows: DataFrame, sizes: DataFrame, slices: int) -> DataFrame:
     rule = edge.select("_mix_source", "_edge").alias("p").join(cut.alias("g"), same_named("p", "g")).select("p._mix_source", "_edge", "_upto_key", "_gap")
     rule = saved(rule)
 
-    open_ = src.alias("p").join(F.broadcast(rule.alias("g")), same_named("p", "g"))
+    open_ = src.alias("p").join(sent(rule.alias("g")), same_named("p", "g"))
     open_ = open_.where((F.col("_mix_slice") > F.col("_edge")) | ((F.col("_mix_slice") == F.col("_edge")) & (F.col("_mix_key") > F.col("_upto_key"))))
     off = F.abs(F.col("_mix_size") - F.col("_gap"))
     extra = open_.where(off < F.col("_gap")).groupBy(F.col("p._mix_source").alias("_mix_source")).agg(F.min_by("_mix_key", F.struct(off, F.col("_mix_key"))).alias("_extra"))
@@ -121,14 +126,16 @@ def slice_of(slices: int) -> Column:
 def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """All rows of `docs` with `size`, `source_size`, `target` and `copies` (how often the mix holds the document).
 
-    The table of sources is small (one row each) and marked for broadcast, so that no text is shuffled.
+    Sources are counted: up to `MOST_SENT` their table (one row each) is sent to all tasks, so that no text is shuffled.
     """
     rows = saved(keyed(docs, weight).select("_mix_source", "_mix_size", "_mix_key"))
     sizes = saved(rows.groupBy("_mix_source").agg(F.sum("_mix_size").alias("_mix_total"), F.count(F.lit(1)).alias("_mix_rows")))
-    slices = bucket_count(sizes.agg(F.sum("_mix_rows")).first()[0] or 0)
-    rules = saved(plan(rows, sizes.drop("_mix_rows"), slices).withColumnRenamed("_mix_source", "_mix_of"))
+    found = sizes.agg(F.sum("_mix_rows").alias("rows"), F.count(F.lit(1)).alias("sources")).first()
+    slices = bucket_count(found["rows"] or 0)
+    sent = F.broadcast if found["sources"] <= MOST_SENT else lambda df: df
+    rules = saved(plan(rows, sizes.drop("_mix_rows"), slices, sent).withColumnRenamed("_mix_source", "_mix_of"))
     out = keyed(docs, weight).withColumn("_mix_slice", slice_of(slices))
-    out = out.join(F.broadcast(rules), F.col("_mix_source").eqNullSafe(F.col("_mix_of")))
+    out = out.join(sent(rules), F.col("_mix_source").eqNullSafe(F.col("_mix_of")))
     drawn = (F.col("_mix_slice") < F.col("_edge")) | ((F.col("_mix_slice") == F.col("_edge")) & (F.col("_mix_key") <= F.col("_upto_key"))) | (F.col("_mix_key") == F.col("_extra"))
     copies = F.col("_mix_epochs") + F.coalesce(drawn, F.lit(False)).cast("int")
     return out.select(

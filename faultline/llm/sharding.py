@@ -2,8 +2,8 @@
 
 Each node is split at the weighted median (weights are bytes) of its widest dimension, until there are as
 many leaves as shards. A dimension is a long: the ranked metadata in the high bits and a digest of the text
-below, so that a dimension with few values still has a median, and equal texts have equal coordinates in
-every dimension and stay together. Only a group of equal texts that alone holds more than `HEAVY` of its
+below, so that a dimension with few values still has a median. Rows of one text whose metadata differ all take the
+smallest value of each dimension, so equal texts have equal coordinates and stay together. Only a group of equal texts that alone holds more than `HEAVY` of its
 node is split further, by the digest of the id.
 
 Medians come from histograms: bytes are summed per node and bin, the bin with the middle is split into
@@ -31,15 +31,23 @@ _LOW = 40  # bits of the text's digest below the ranked metadata
 
 
 def measured(docs: DataFrame, dims: dict[str, Column]) -> DataFrame:
-    """Narrow table: doc_id, size, text_crc32, `_id` (digest of the id) and the dimensions `_d0`, `_d1`..."""
+    """Narrow table: doc_id, size, text_crc32, `_id` (digest of the id), `_text` (of the text) and the dimensions `_d0`, `_d1`..."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.shiftrightunsigned(F.xxhash64(text), 64 - _LOW)
     return docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64("doc_id", text).alias("_id"),
+        F.xxhash64("doc_id", text).alias("_id"), F.xxhash64(text).alias("_text"),
         *[(F.shiftleft(F.coalesce(d, F.lit(0)).cast("long"), _LOW) + low).alias(f"_d{i}") for i, d in enumerate(dims.values())])
 
 
+def agreed(rows: DataFrame, n_dims: int) -> DataFrame:
+    """`measured` rows with the same coordinates for all rows of a text; only texts whose rows differ are looked up."""
+    dims = [f"_d{i}" for i in range(n_dims)]
+    per = rows.groupBy("_text").agg(*[F.min(d).alias(f"{d}a") for d in dims], *[F.max(d).alias(f"{d}b") for d in dims])
+    differ = saved(per.where(" or ".join(f"{d}a <> {d}b" for d in dims)).drop(*[f"{d}b" for d in dims]))
+    return rows.join(differ, "_text", "left").withColumns({d: F.coalesce(f"{d}a", d) for d in dims}).drop("_text", *[f"{d}a" for d in dims])
+
+
 def default_dims() -> dict[str, Column]:
     """Length on a log scale, language, and the share of bytes beyond one per character; each below 2^22."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -150,7 +158,7 @@ def _nest(step: dict[int, Column], node: Column) -> Column:
 def shard(docs: DataFrame, shards: int = 8, dims: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (0, 1, 2... in each shard) and grown_shard (null under this law)."""
     dims = default_dims() if dims is None else dims
-    rows = saved(measured(docs, dims))
+    rows = saved(agreed(saved(measured(docs, dims)), len(dims)))
     placed = saved(rows.withColumn("shard", tree(rows, len(dims), shards).cast("int")).select("doc_id", "size", "text_crc32", "_id", "shard"))
     return numbered(placed, ["shard"], "_id", ["doc_id", "text_crc32", "size"], "slot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -311,6 +311,15 @@ def test_shards_are_even_and_keep_copies_together(spark):
     assert (got.groupby("text_crc32").shard.nunique() == 1).mean() > 0.95
 
 
+def test_equal_texts_stay_together_whatever_their_metadata(spark):
+    rnd = random.Random(6)
+    rows = [(i, f"text {i} " * rnd.randint(1, 9), rnd.choice(["en", "de", "fr", "zh", None])) for i in range(3000)]
+    rows += [(3000 + i, f"copied passage {i // 4} of several languages", rnd.choice(["en", "de", "fr", "zh", None])) for i in range(600)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all() and len(size) == 8 and size.max() <= 1.03 * size.mean()
+
+
 def test_a_heavy_group_is_divided(spark):
     rows = [(i, "same text" if i < 600 else f"text {i}", "en") for i in range(1000)]
     size = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
@@ -544,3 +553,22 @@ def test_a_template_has_a_fixed_order_and_nests(spark):
 
 def test_each_operator_has_one_query():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_rare_languages_are_learned(spark):
+    words = {"en": "the of and tion ing er".split(), "de": "der die und le la ung".split(), "sr": "je smo nisam hvala dobar dan".split()}
+    rnd = random.Random(7)
+    lang = lambda i: "sr" if i < 3 else "en" if i % 2 else "de"
+    rows = [(i, " ".join(rnd.choices(words[lang(i)], k=8)), lang(i)) for i in range(20_000)]
+    field = langcrf.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(field.langs) == ["de", "en", "sr"]
+
+
+def test_pages_that_stand_twice_get_equal_texts(spark):
+    page = lambda i: f"<html><body><div>Acme portal</div><div>Menu</div><p>Story {i} tells of day {i * 7}.</p><p>More {i}.</p><div>All rights reserved</div></body></html>"
+    rows = [(i, f"http://acme.test/{i}", page(i)) for i in range(8)]
+    kind = "page_id long, url string, html string"
+    once = {r.url: r.text for r in maintext.extract(spark.createDataFrame(rows, kind)).collect()}
+    twice = maintext.extract(spark.createDataFrame(rows + rows, kind)).collect()
+    assert len(twice) == 16 and all(r.text == once[r.url] for r in twice)
+    assert all("Acme portal" not in t and "Story" in t for t in once.values())

@@ -44,6 +44,31 @@ def sf(spark, name):
 # ---- 1 ----------------------------------------------------------------------------------------------------------
 
 
+def test_fingerprints_equal_brute_force_over_the_whole_band(spark):
+    import regex
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x, seed: xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
+    docs = sf(spark, "documents").select("doc_id", "text")
+    band = imatch.lexicon(docs)
+    held = {r.term for r in band.collect()}
+    tables = imatch.slots(band)
+    assert len(held) == band.count() > 1000 and sorted(t for table in tables for t in table if t) == sorted(held)
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(docs).collect()}
+    for r in docs.orderBy("doc_id").limit(50).collect():
+        words = dict.fromkeys(w for w in regex.split(r"[^\p{L}\p{N}]+", (r.text or "").lower()) if w)
+        all_terms = list(dict.fromkeys(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words))
+        kept, places = [t for t in all_terms if t in held] or all_terms, []
+        for c in range(imatch.CHAINS):
+            drawn = sorted(signed(xxhash.xxh64_intdigest(c.to_bytes(4, "little"), long(t, 42))) for t in kept)
+            for k in range(imatch.LEVELS):
+                subset, seed = [x for x in drawn if x % (1 << k) == 0], 42
+                for x in subset:
+                    seed = long(x, seed)
+                places.append(f"{seed:016x}"[:8] if 1 <= len(subset) <= imatch.MOST else "")
+        assert got[r.doc_id] == "-".join(places)
+
+
 def test_fingerprints_and_edited_texts(spark, odd):
     got = imatch.fingerprints(odd).collect()
     rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)

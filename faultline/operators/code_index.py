@@ -15,7 +15,8 @@ from faultline.session import cut, saved
 CHUNK_LINES = 100
 BOUNDARY = rf"^{SPACE}*(\}}|end|End Sub|End Function)"
 # --- end of fixed values --------------------------------------------------------------------------
-GRAM = 4
+#: Longest window of a path that is looked up.
+GRAM = 64
 
 
 def chunk_array(content: Column, overlap: int = 0) -> Column:
@@ -111,27 +112,32 @@ def frame_to_file(frames: DataFrame, files: DataFrame) -> DataFrame:
     """(frame_path, file_path): the first indexed file whose path contains the frame's path.
 
     `files` carries `file_ord`, the order of the index. Case does not count, `\\` equals `/`. A frame path
-    inside a file path shares all its character windows with it, so each distinct frame path looks only
-    at files holding its rarest window; a window no file has means no match.
+    inside a file path shares all its character windows with it. Windows are as long as the largest power of two that fits
+    in the frame path, so each covers at least half of it, and folders that all files share tell little less than
+    the whole. A frame path that is one window has its answer among the windows' first files; any other looks only at files holding its
+    rarest window, and a window no file has means no match.
     """
     paths = frames.select(F.col("file_path").alias("frame_path")).filter(text.text("file_path") != "").distinct()
     needle = F.lower(F.replace("frame_path", F.lit("\\"), F.lit("/")))
-    paths = paths.withColumn("_needle", needle).withColumn("_n", F.least(F.length("_needle"), F.lit(GRAM)))
+    paths = paths.withColumn("_needle", needle)
+    paths = cut(paths.withColumn("_n", F.least(F.pow(F.lit(2), F.floor(F.log2(F.length("_needle").cast("double") + 1e-6))).cast("int"), F.lit(GRAM))))
     hay = files.select("file_path", "file_ord", F.lower("file_path").alias("_hay"))
-    sizes = sorted(r[0] for r in paths.select("_n").distinct().collect())  # at most GRAM numbers
+    sizes = sorted(r[0] for r in paths.select("_n").distinct().collect())  # at most log2(GRAM) + 1 numbers
     grams = F.concat(F.array().cast("array<string>"), *[F.when(F.length("_hay") >= n, _windows(F.col("_hay"), n)).otherwise(F.array().cast("array<string>")) for n in sizes])
     file_grams = text.unroll(hay, ["file_path", "file_ord", "_hay"], grams, "_at", "gram").drop("_at")
-    spread = file_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("files"))
     mine = paths.select("frame_path", "_needle", F.size(_windows_of("_needle", "_n")).alias("n_grams"), F.explode(_windows_of("_needle", "_n")).alias("gram"))
-    known = mine.join(spread, "gram")
-    pick = known.groupBy("frame_path", "_needle", "n_grams").agg(
+    asked = mine.select("gram").distinct()
+    spread = file_grams.join(asked, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("files"), F.min(F.struct("file_ord", "file_path")).alias("_first"))
+    known = cut(mine.join(spread, "gram"))
+    whole = known.filter(F.col("gram") == F.col("_needle")).select("frame_path", F.col("_first.file_path").alias("file_path"))
+    pick = known.filter(F.col("gram") != F.col("_needle")).groupBy("frame_path", "_needle", "n_grams").agg(
         F.count(F.lit(1)).alias("n_known"), F.min(F.struct("files", "gram")).alias("_rarest")
     ).filter(F.col("n_known") == F.col("n_grams"))
     pick = pick.select("frame_path", "_needle", F.col("_rarest.gram").alias("gram"))
     hits = pick.join(file_grams, "gram").filter(F.col("_hay").contains(F.col("_needle")))
-    return hits.groupBy("frame_path").agg(F.min(F.struct("file_ord", "file_path")).alias("_first")).select(
+    return whole.unionByName(hits.groupBy("frame_path").agg(F.min(F.struct("file_ord", "file_path")).alias("_first")).select(
         "frame_path", F.col("_first.file_path").alias("file_path")
-    )
+    ))
 
 
 def _windows_of(c: str, n: str) -> Column:

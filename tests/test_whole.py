@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from faultline.functions import events, text
-from faultline.operators import clean, context, grouping, kb, neardup, vectors
+from faultline.operators import code_index, clean, context, grouping, kb, neardup, vectors
 from conftest import SF
 from faultline.plans import triage
 from faultline.plans.standins import view
@@ -105,3 +105,16 @@ def test_groups_go_on_over_batches(spark):
     assert group_of.keys() == whole.keys()
     assert all(group_of[row] == group_of[leader] for row, leader in whole.items())
     assert len(set(group_of.values())) == len(set(whole.values()))
+
+
+def test_frames_among_files_that_share_their_folders(spark):
+    import random
+
+    rnd = random.Random(5)
+    names = [f"src/main/java/com/Acme/{rnd.choice(['core', 'web', 'db'])}/{rnd.choice('ABCDEFG')}{i % 40}.java" for i in range(400)]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "file_path string, file_ord long")
+    asked = ["src/main", "src\\main\\java", "SRC/MAIN/JAVA/", "a", "in", "com", "Acme/web", "core/A1.java", "B2.java", "c/d", "", None, "nothing.py", names[7], names[7] + "x", "x" * 200]
+    asked += [p[rnd.randint(0, 20):] for p in names[:40]] + [p[5:rnd.randint(8, 30)] for p in names[:40]]
+    got = {r.frame_path: r.file_path for r in code_index.frame_to_file(spark.createDataFrame([(a,) for a in asked], "file_path string"), files).collect()}
+    want = {a: next((p for p in names if a.lower().replace("\\", "/") in p.lower()), None) for a in asked if a}
+    assert got == {a: p for a, p in want.items() if p}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import contamination, langcrf, mixing, sharding, simhash
-from faultline.llm.common import fold, packed
+from faultline.llm.common import fold, packed, unpacked
 from faultline.session import shared_folder, ship
 
 #: The stages take labels, links and weights that plain SQL doesn't express.
@@ -35,17 +35,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_first(packed(docs, "doc_id", "text")).select("_row.*")
+    return unpacked(simhash.keep_first(packed(docs, "doc_id", "text")), docs, "doc_id", "text")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return contamination.clean(packed(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("_row.*")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return unpacked(contamination.clean(packed(docs, "doc_id", "text"), benchmark), docs, "doc_id", "text")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(packed(docs, "doc_id", "text", "source")).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
+    return unpacked(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))), docs, "doc_id", "text", "source")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

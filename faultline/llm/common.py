@@ -77,5 +77,11 @@ def sized_join(rows: DataFrame, keys: DataFrame, how: str, most: int = 500_000)
 
 
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
-    """All columns in one struct `_row`, whatever their names, beside the ones an operator needs; `select("_row.*")` gives them back."""
-    return docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row"), *needed)
+    """The columns an operator needs, all others in one struct `_row`, whatever their names; `unpacked` gives them back."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*needed, *([F.struct(*[F.col(f"`{c}`").alias(c) for c in rest]).alias("_row")] if rest else []))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of `docs` from packed rows."""
+    return rows.select(*[F.col(c) if c in needed else F.col("_row").getField(c).alias(c) for c in docs.columns])

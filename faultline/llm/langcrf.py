@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.common import packed
+from faultline.llm.common import packed, unpacked
 from faultline.llm.words import grams, has_letter, letters, sums_by
 
 #: Documents that the field is fitted on, about; least of each language, and most languages.
@@ -292,4 +292,4 @@ def identify(spark: SparkSession, docs: DataFrame, field: Field | None, spans: b
 
 def keep_identified(spark: SparkSession, docs: DataFrame, field: Field | None) -> DataFrame:
     """Documents that have a language, whatever their columns are called."""
-    return identify(spark, packed(docs, "text"), field).where(F.col("lang_pred") != "und").select("_row.*")
+    return unpacked(identify(spark, packed(docs, "text"), field).where(F.col("lang_pred") != "und"), docs, "text")

@@ -54,6 +54,18 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def fill(self, keys, make_all) -> None:
+        """Takes in the values of keys that are missing here, those that are new made together."""
+        new = []
+        for key in keys:
+            value = self.older.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                self[key] = value
+        if new:
+            self.update(zip(new, make_all(new)))
+
     def trim(self, most: int = 200_000) -> None:
         if len(self) > most:
             self.older = dict(self)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import array
+import codecs
 import os
+from itertools import chain, filterfalse
 
 import regex
 from tokenizers import Tokenizer
@@ -25,78 +27,114 @@ _ODD = regex.compile(
     "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
     "\U00010000-\U0001efff\U0002a6e0-\U0010ffff]")
 # end of fixed values
-_LETTER = dict(zip((b for b in range(256) if b not in _PLAIN), map(chr, range(256, 512))))
 
 
-class _OddRun(Exception):
-    """A run with a code point of _ODD; it is never kept, so every text with one is noticed."""
+# a place between pieces: a single space between characters that no library takes for white space
+_CUT = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
+_SHIFTED = dict(zip((b for b in range(256) if b not in _PLAIN), range(256, 512)))
+_LETTERS = "".join(chr(_SHIFTED.get(b, b)) for b in range(256))
 
 
 class Subwords:
     """Byte-level ids (below 65,536) of whole texts, as little-endian 16-bit integers, by the tokenizer's own model.
 
     A text is cut at single spaces between other characters, where no run of the tokenizer crosses. Words repeat,
-    so the ids of a piece, and of the runs in it, are looked up if they were met before. A text with other white space
-    next to a space falls into runs as a whole. A text that holds the content of an added token, or a code point on which
-    the run pattern and the library may differ, goes through the library's own call. `most` bounds the pieces and
-    the runs kept (of each up to twice as many, some 200 bytes apiece).
+    so the ids of a piece, and of the runs in it, are looked up if they were met before; the new pieces of a batch of texts fall
+    into runs together. A text with other white space next to a space is cut at its other spaces. A text that holds
+    the content of an added token, and a piece with a code point on which the run pattern and the library may differ, go
+    through the library's own call. `most` bounds the pieces and the runs kept (of each up to twice as many, some 200 bytes
+    apiece); those of more than `LONG` characters are kept for one batch alone.
     """
 
+    LONG = 100
+
     def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole, self.most = Tokenizer.from_file(path), most
         self.model = self.whole.model
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.runs = Memo(self._run)
-        self.pieces = Memo(self._piece)
-
-    def _run(self, run: str) -> bytes:
-        if _ODD.search(run):
-            raise _OddRun
-        letters = run.encode("utf-8", "surrogatepass").decode("latin-1").translate(_LETTER)
-        return array.array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _runs_in(self, text: str) -> bytes:
+        self.runs = Memo(lambda run: self._runs_alone([run])[0])
+        self.pieces = Memo(lambda piece: self._ids(" " + piece))
+        self.long: list[tuple[Memo, str]] = []
+
+    def _runs_alone(self, runs: list[str]) -> list[bytes]:
+        model = self.model.tokenize
+        letters = [codecs.charmap_decode(r.encode("utf-8", "surrogatepass"), "strict", _LETTERS)[0] for r in runs]
+        self.long += [(self.runs, r) for r in runs if len(r) > self.LONG]
+        return [array.array("H", [t.id for t in model(x)]).tobytes() for x in letters]
+
+    def _ids(self, text: str) -> bytes:
+        """Ids of a text by itself."""
+        if _ODD.search(text) or self._has_added(text):
+            return array.array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.runs.__getitem__, _RUNS.findall(text)))
 
-    def _piece(self, piece: str) -> bytes:
-        if piece.strip() != piece or not piece:
-            raise KeyError(piece)
-        return self._runs_in(" " + piece)
-
-    def _whole(self, text: str) -> bytes:
-        return array.array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        """Ids of a word after a space."""
-        text = " " + word.decode("utf-8", "replace")
-        try:
-            return self._runs_in(text)
-        except _OddRun:
-            return self._whole(text)
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces after a space. Each run that begins with a space begins a piece, but for pieces of a kind that are asked one by one."""
+        self.long += [(self.pieces, p) for p in pieces if len(p) > self.LONG]
+        joined = " " + " ".join(pieces)
+        alone = {p for p in pieces if not p or p.strip() != p}
+        if joined.count(" ") > len(pieces) or _ODD.search(joined) or self._has_added(joined):
+            alone.update(p for p in pieces if " " in p or _ODD.search(p) or self._has_added(p))
+        some = [p for p in pieces if p not in alone] if alone else pieces
+        if not some:
+            return [self._ids(" " + p) for p in pieces]
+        runs = _RUNS.findall(" " + " ".join(some) if alone else joined)
+        self.runs.fill(set(filterfalse(self.runs.__contains__, runs)), self._runs_alone)
+        ids = list(map(self.runs.__getitem__, runs))
+        begin = [i for i, r in enumerate(runs) if r[0] == " "]
+        found = [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(begin, [*begin[1:], len(runs)])]
+        if not alone:
+            return found
+        found = iter(found)
+        return [self._ids(" " + p) if p in alone else next(found) for p in pieces]
+
+    def _meet(self, pieces: list[str]) -> tuple[list[bytes | None], list[tuple[int, str]]]:
+        """Ids of the pieces that are kept, and the others with their places."""
+        found = list(map(self.pieces.get, pieces))
+        return found, [(i, pieces[i]) for i, ids in enumerate(found) if ids is None]
+
+    def _all(self, found: list[bytes | None], others: list[tuple[int, str]]) -> list[bytes]:
+        for i, piece in others:
+            found[i] = self.pieces[piece]
+        return found
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words (without ASCII white space), each after a space."""
+        pieces = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
+        found, others = self._meet(pieces)
+        self.pieces.fill({p for _, p in others}, self._learn)
+        out = self._all(found, others)
+        self.trim()
+        return out
 
     def trim(self) -> None:
+        for kept, key in self.long:
+            kept.pop(key, None)
+        self.long.clear()
         self.runs.trim(self.most)
         self.pieces.trim(self.most)
 
-    def _text(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        try:
-            if first.strip() != first or not first and rest:
-                raise KeyError
-            return self._runs_in(first) + b"".join(map(self.pieces.__getitem__, rest))
-        except KeyError:  # a piece that is empty, or begins or ends with white space
-            return self._runs_in(text)
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
+        met, new = [], set()
         for text in texts:
-            try:
-                out.append(self._text(text))
-            except _OddRun:
-                out.append(self._whole(text))
+            if self._has_added(text):
+                met.append((text, [], []))
+                continue
+            first, *rest = text.split(" ")
+            found, others = self._meet(rest)
+            fresh = {p for _, p in others} - new
+            if not first and rest or any(p.strip() != p or not p for p in chain([first] * bool(first), fresh)):
+                first, *rest = _CUT.split(text)
+                found, others = self._meet(rest)
+                fresh = {p for _, p in others}
+            new |= fresh
+            met.append((first, found, others))
+        self.pieces.fill(new, self._learn)
+        out = [self._ids(first) + b"".join(self._all(found, others)) for first, found, others in met]
         self.trim()
         return out
 

@@ -288,6 +288,16 @@ def test_ids_are_those_of_the_library_by_default(spark):
     ids = lambda t: tok.encode(t, add_special_tokens=False).ids
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y", "<|endoftext|", "one\ua7dd two", "a \U0001f600b 12", "\U00010940 \u0558s", "\U00012550\U00033000 z"]
     assert [np.frombuffer(x, np.uint16).tolist() for x in own.encode([*texts, *texts])] == 2 * [ids(t) for t in texts] and ids(texts[0]) == [64, 220, 50256, 275]
+    # white space of every kind, long runs, and pieces that the bounded store has dropped
+    rng = np.random.default_rng(1)
+    atoms = ["a", "B", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "<|endoftext|>", "'s", "12", "\xe9", "!!", "\ua7dd", "\U0001f600", "x" * 130, "\u200b", "\x00"]
+    small = Subwords(path, most=40)
+    for _ in range(400):
+        mixed = ["".join(rng.choice(atoms) if rng.random() < 0.7 else " " for _ in range(rng.integers(0, 14))) for _ in range(5)]
+        assert [np.frombuffer(x, np.uint16).tolist() for x in small.encode(mixed)] == [ids(t) for t in mixed]
+        words = [w for t in mixed for w in t.encode().split()]
+        assert [np.frombuffer(x, np.uint16).tolist() for x in small.words(words)] == [ids(" " + w.decode()) for w in words]
+    assert max(map(len, [*small.runs, *small.pieces, *small.runs.older, *small.pieces.older])) <= Subwords.LONG
     # every code point that goes the fast way falls into the library's runs
     for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
         if not _ODD.search(c):
@@ -577,7 +587,7 @@ def test_a_template_has_a_fixed_order_and_nests(spark):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 def test_rare_languages_are_learned(spark):

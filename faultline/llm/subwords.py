@@ -5,8 +5,11 @@ from __future__ import annotations
 import array
 import codecs
 import os
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -47,8 +50,10 @@ class Subwords:
     """
 
     LONG = 100
+    #: Pieces looked up, or put together, at a time.
+    TOGETHER = 200_000
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole, self.most = Tokenizer.from_file(path), most
         self.model = self.whole.model
@@ -92,50 +97,81 @@ class Subwords:
         found = iter(found)
         return [self._ids(" " + p) if p in alone else next(found) for p in pieces]
 
-    def _meet(self, pieces: list[str]) -> tuple[list[bytes | None], list[tuple[int, str]]]:
-        """Ids of the pieces that are kept, and the others with their places."""
+    def _after_space(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         found = list(map(self.pieces.get, pieces))
-        return found, [(i, pieces[i]) for i, ids in enumerate(found) if ids is None]
-
-    def _all(self, found: list[bytes | None], others: list[tuple[int, str]]) -> list[bytes]:
-        for i, piece in others:
-            found[i] = self.pieces[piece]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        self.pieces.fill([pieces[i] for i in others], self._learn)
+        for i in others:
+            found[i] = self.pieces[pieces[i]]
+        self._forget()
         return found
 
     def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words (without ASCII white space), each after a space."""
-        pieces = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
-        found, others = self._meet(pieces)
-        self.pieces.fill({p for _, p in others}, self._learn)
-        out = self._all(found, others)
-        self.trim()
-        return out
+        """Ids of distinct words (without ASCII white space), each after a space."""
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
+        return [ids for a in range(0, len(texts), self.TOGETHER) for ids in self._after_space(texts[a : a + self.TOGETHER])]
 
-    def trim(self) -> None:
+    def _forget(self) -> None:
         for kept, key in self.long:
             kept.pop(key, None)
         self.long.clear()
         self.runs.trim(self.most)
         self.pieces.trim(self.most)
 
+    def _numbered(self, cut: pa.LargeListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Where texts begin, the numbers of their pieces, and the distinct pieces."""
+        coded = cut.flatten().dictionary_encode()
+        begin = cut.offsets.to_numpy()
+        return begin - begin[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+    def _cut_ids(self, begin: np.ndarray, place: np.ndarray, distinct: list[str]) -> list[bytes]:
+        """Ids of texts of at least one piece each; each distinct piece is looked up once."""
+        first = begin[:-1]
+        inner = np.zeros(len(distinct), bool)
+        inner[np.delete(place, first)] = True
+        ids: list[bytes] = [b""] * len(distinct)
+        some = np.flatnonzero(inner).tolist()
+        for a in range(0, len(some), self.TOGETHER):
+            for i, x in zip(some[a : a + self.TOGETHER], self._after_space([distinct[i] for i in some[a : a + self.TOGETHER]])):
+                ids[i] = x
+        ids += [self._ids(distinct[i]) for i in place[first]]
+        place[first] = len(distinct) + np.arange(len(first))  # a text's first piece has no space before it
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start, every = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint16)
+        out = []
+        for a in range(0, len(place), self.TOGETHER):
+            at = place[a : a + self.TOGETHER]
+            n = size[at]
+            out.append(every[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        out = np.concatenate(out)
+        end = np.cumsum(size[place])[begin[1:] - 1]
+        return [out[a:b].tobytes() for a, b in zip([0, *end[:-1].tolist()], end.tolist())]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        met, new = [], set()
-        for text in texts:
-            if self._has_added(text):
-                met.append((text, [], []))
-                continue
-            first, *rest = text.split(" ")
-            found, others = self._meet(rest)
-            fresh = {p for _, p in others} - new
-            if not first and rest or any(p.strip() != p or not p for p in chain([first] * bool(first), fresh)):
-                first, *rest = _CUT.split(text)
-                found, others = self._meet(rest)
-                fresh = {p for _, p in others}
-            new |= fresh
-            met.append((first, found, others))
-        self.pieces.fill(new, self._learn)
-        out = [self._ids(first) + b"".join(self._all(found, others)) for first, found, others in met]
-        self.trim()
+        if not texts:
+            return []
+        begin, place, distinct = self._numbered(pc.split_pattern(pa.array(texts, pa.large_string()), " "))
+        # texts with white space beside a space are cut elsewhere, those with an added token not at all
+        odd = np.array([not p or p.strip() != p for p in distinct], bool)
+        whole = np.array([self._has_added(t) for t in texts], bool)
+        apart = whole if not odd.any() else whole | (np.add.reduceat(odd[place], begin[:-1]) > 0)
+        if not apart.any():
+            return self._cut_ids(begin, place, distinct)
+        out: list[bytes] = [b""] * len(texts)
+        plain = np.flatnonzero(~apart)
+        if len(plain):
+            size = np.diff(begin)
+            rest = place[np.repeat(~apart, size)]
+            for i, ids in zip(plain.tolist(), self._cut_ids(np.concatenate([[0], np.cumsum(size[plain])]), rest, distinct)):
+                out[i] = ids
+        recut = np.flatnonzero(apart & ~whole).tolist()
+        if recut:
+            pieces = pa.array([_CUT.split(texts[i]) for i in recut], pa.large_list(pa.large_string()))
+            for i, ids in zip(recut, self._cut_ids(*self._numbered(pieces))):
+                out[i] = ids
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = self._ids(texts[i])
         return out
 
 

@@ -34,7 +34,7 @@ BLOCK = 1024
 FILE = 500_000
 END = 0
 #: Characters encoded together.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 
 _MAGIC = b"HUFIDS1\0"
 

@@ -51,7 +51,7 @@ class Subwords:
 
     LONG = 100
     #: Pieces looked up, or put together, at a time.
-    TOGETHER = 200_000
+    TOGETHER = 50_000
 
     def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -108,9 +108,13 @@ class Subwords:
         return found
 
     def words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words (without ASCII white space), each after a space."""
+        """Ids of words (without ASCII white space), each after a space. They are not kept, their runs are."""
         texts = b" ".join(words).decode("utf-8", "replace").split(" ") if words else []
-        return [ids for a in range(0, len(texts), self.TOGETHER) for ids in self._after_space(texts[a : a + self.TOGETHER])]
+        out = []
+        for a in range(0, len(texts), self.TOGETHER):
+            out += self._learn(texts[a : a + self.TOGETHER])
+            self._forget()
+        return out
 
     def _forget(self) -> None:
         for kept, key in self.long:

@@ -187,3 +187,8 @@ def subwords(path: str) -> Subwords:
     if path not in _made:
         _made[path] = Subwords(path)
     return _made[path]
+
+
+def release() -> None:
+    """Gives up this process' instances and what they keep; later stages don't need them."""
+    _made.clear()

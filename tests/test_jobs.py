@@ -70,6 +70,16 @@ def test_cells_equal_brute_force(spark, monkeypatch, metric, mode):
         assert got == {i: [j for _, j in w] for i, w in want.items() if w}
 
 
+def test_copies_of_a_vector_are_one(spark):
+    """However many copies a vector has, it searches once and stands as one entry with its first ids."""
+    e = spark.createDataFrame([(i, "m", [1.0, 0.0]) for i in range(200)] + [(300, "m", [0.0, 1.0])], "kb_id long, module string, embedding array<float>")
+    entries, owners = vectors._distinct_entries(e.select("kb_id", "module", F.lit("").alias("pkey"), F.col("embedding").alias("vec")), 3)
+    assert sorted((r.kb_id, [x.kb_id for x in r.owners]) for r in owners.collect()) == [(0, [0, 1, 2]), (300, [300])] and entries.count() == 2
+    q = spark.createDataFrame([(i, [0.6, 0.8]) for i in range(50)] + [(60, [1.0, 0.0])], "q_id long, vec array<float>")
+    found = sorted((r.q_id, r["rank"], r.kb_id, round(r.distance, 6)) for r in vectors.code_topk(q, e.drop("module"), 3).collect())
+    assert found == sorted([(i, n, j, d) for i in range(50) for n, j, d in [(1, 300, 0.4), (2, 0, 0.8), (3, 1, 0.8)]] + [(60, n + 1, n, 0.0) for n in range(3)])
+
+
 def test_cells_far_away_are_not_visited(spark):
     rnd = random.Random(9)
     centres = [[rnd.gauss(0, 5) for _ in range(16)] for _ in range(20)]

@@ -10,6 +10,9 @@ from faultline.functions.text import SPACE, strip
 from faultline.schemas import CODE_EXTENSIONS, SKIPPED_FOLDERS
 from faultline.session import spread
 
+#: Most rows of a CSV file that is written.
+FILE_ROWS = 50_000
+
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV with a header and quoted JSON cells (`""` escapes).
@@ -99,8 +102,9 @@ def write_results(results: DataFrame, folder: str, run_id: str, fmt: str = "parq
         writer.parquet(folder)
 
 
-def write_csv(df: DataFrame, folder: str) -> None:
-    _csv(df.write.mode("overwrite")).csv(folder)
+def write_csv(df: DataFrame, folder: str, rows: int = FILE_ROWS) -> None:
+    """Files of at most `rows` rows: with line breaks inside cells, a file can't be split and is one task's."""
+    _csv(df.write.mode("overwrite").option("maxRecordsPerFile", rows)).csv(folder)
 
 
 def _csv(writer: DataFrameWriter) -> DataFrameWriter:

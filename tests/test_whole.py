@@ -9,6 +9,7 @@ from faultline.operators import code_index, clean, context, grouping, kb, neardu
 from conftest import SF
 from faultline.plans import triage
 from faultline.plans.standins import view
+from faultline.sources import files
 
 
 def test_top_k_is_honoured(spark):
@@ -118,3 +119,11 @@ def test_frames_among_files_that_share_their_folders(spark):
     got = {r.frame_path: r.file_path for r in code_index.frame_to_file(spark.createDataFrame([(a,) for a in asked], "file_path string"), files).collect()}
     want = {a: next((p for p in names if a.lower().replace("\\", "/") in p.lower()), None) for a in asked if a}
     assert got == {a: p for a, p in want.items() if p}
+
+
+def test_csv_files_stay_small(spark, tmp_path):
+    """A file with line breaks in its cells is read by one task, so no partition writes one file of any size."""
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "concat('a', chr(10), id) AS text")
+    files.write_csv(rows, str(tmp_path / "c"), 100)
+    assert len(list((tmp_path / "c").glob("part-*"))) == 10
+    assert sorted(map(tuple, files.scan_csv(spark, str(tmp_path / "c"), rows.schema).collect())) == sorted(map(tuple, rows.collect()))

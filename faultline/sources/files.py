@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions.text import SPACE, strip
+from faultline.functions.text import SPACE, let, once, strip
 from faultline.schemas import CODE_EXTENSIONS, SKIPPED_FOLDERS
 from faultline.session import spread
 
@@ -49,8 +49,11 @@ def scan_kv_blocks(spark: SparkSession, path: str, keys: list[str] | None = None
     lines = F.filter(F.split("value", "\n"), lambda s: s.contains(":"))
     pairs = F.transform(lines, lambda s: F.struct(
         strip(F.substring_index(s, ":", 1)).alias("k"), strip(F.substring(s, F.instr(s, ":") + 1, F.length(s))).alias("v"), ))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
-    rows = blocks.select(F.map_from_entries(last).alias("m")).filter(F.size("m") > 0)
+
+    def last(pairs):
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
+
+    rows = once(blocks.select(let(pairs, last).alias("_p")), "m", F.map_from_entries("_p")).select("m").filter(F.size("m") > 0)
     return rows.select(*[F.col("m")[k].alias(k) for k in keys]) if keys else rows.select(F.col("m").alias("fields"))
 
 

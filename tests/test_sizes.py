@@ -22,3 +22,11 @@ def test_a_compact_table_is_dealt_into_pieces_of_bounded_rows(spark, monkeypatch
     rows = standins.table(spark, SF, "events")
     sizes = piece_sizes(rows)
     assert sum(sizes) == spark.read.parquet(f"{SF}/events.parquet").count() and max(sizes) <= 60
+
+
+def test_key_value_lines_are_split_once(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("id: 1\nid: 2\nnote: a:b\nplain\n\n\nnote: x\n id : 3 \nid:4\n")
+    rows = files.scan_kv_blocks(spark, str(tmp_path / "log.txt"), ["id", "note"])
+    assert sorted((r["id"], r["note"]) for r in rows.collect()) == [("2", "a:b"), ("4", "x")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1  # the pairs were computed anew inside the search for a later equal key

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from faultline.operators import audit, code_index, kb as kb_ops, neardup
+from faultline.session import spread
 from faultline.sources import tables
 
 
@@ -32,7 +33,7 @@ def stream_triage(stream: DataFrame, run: Callable[[DataFrame, DataFrame], tuple
     stored by batch and a batch sees only those before it, so a replayed batch does the same again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, batch = batch.sparkSession, spread(batch, batch.count())
         kind = f"{neardup.LEADER_COLUMNS}, batch_id bigint"
         known = spark.read.schema(kind).parquet(leaders) if tables.table_exists(spark, leaders) else spark.createDataFrame([], kind)
         results, found = run(batch, known.filter(F.col("batch_id") < batch_id).drop("batch_id"))
@@ -61,7 +62,7 @@ def stream_kb_append(stream: DataFrame, kb_path: str, checkpoint: str) -> Stream
     The table itself is the state: a restart or a replayed batch finds its own entries and adds nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, batch = batch.sparkSession, spread(batch, batch.count())
         if tables.table_exists(spark, kb_path):
             fresh = kb_ops.kb_append(tables.read_kb(spark, kb_path), batch)
         else:

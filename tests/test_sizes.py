@@ -24,6 +24,30 @@ def test_a_compact_table_is_dealt_into_pieces_of_bounded_rows(spark, monkeypatch
     assert sum(sizes) == spark.read.parquet(f"{SF}/events.parquet").count() and max(sizes) <= 60
 
 
+def test_arriving_files_are_bounded_and_make_as_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_jobs, "PIECE_ROWS", 30)
+    rows = standins.view(spark, SF, "kbfile")
+    each = q_jobs.arrive(rows, f"{tmp_path}/in")
+    per_file = [r["count"] for r in spark.read.parquet(f"{tmp_path}/in").groupBy(F.input_file_name()).count().collect()]
+    assert max(per_file) <= 40 and len(per_file) == 2 * each
+    seen = []
+    stream = streams.read_log_stream(spark, f"{tmp_path}/in", rows.schema, max_files=each)
+    streams._start(stream, f"{tmp_path}/state", lambda batch, i: seen.append(batch.count())).awaitTermination()
+    assert len(seen) == 2 and sum(seen) == rows.count()
+
+
+def test_a_large_batch_of_entries_is_spread(spark, tmp_path, monkeypatch):
+    standins.view(spark, SF, "kbfile").coalesce(1).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(session, "PIECE_ROWS", 100)
+    pieces = []
+    build = streams.kb_ops.kb_build
+    monkeypatch.setattr(streams.kb_ops, "kb_build", lambda df: pieces.append(max(piece_sizes(df))) or build(df))
+    schema = standins.view(spark, SF, "kbfile").schema
+    streams.stream_kb_append(streams.read_log_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/kb", f"{tmp_path}/state").awaitTermination()
+    assert pieces and pieces[0] <= 120
+    assert tables.read_kb(spark, f"{tmp_path}/kb").count() > 0
+
+
 def test_key_value_lines_are_split_once(spark, tmp_path):
     (tmp_path / "log.txt").write_text("id: 1\nid: 2\nnote: a:b\nplain\n\n\nnote: x\n id : 3 \nid:4\n")
     rows = files.scan_kv_blocks(spark, str(tmp_path / "log.txt"), ["id", "note"])

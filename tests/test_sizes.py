@@ -54,3 +54,45 @@ def test_key_value_lines_are_split_once(spark, tmp_path):
     assert sorted((r["id"], r["note"]) for r in rows.collect()) == [("2", "a:b"), ("4", "x")]
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("instr(") == 1  # the pairs were computed anew inside the search for a later equal key
+
+
+def messages(n, seed):
+    rnd = random.Random(seed)
+    words = "timeout order claim failed null value batch host retry payload schema deadlock".split()
+    base = [" ".join(random.Random(k).choices(words, k=6)) for k in range(8)]
+    return [(i, rnd.choice("AAB"), f"{rnd.choice(base)} {rnd.choice(words)} u{rnd.randrange(999)}", "") for i in range(n)]
+
+
+def test_layers_of_an_index_find_the_first_alike(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "INDEX_BLOCK", 24)
+    kind = "ord long, _t string, _msg string, _code string"
+    known, new = messages(120, 1), [(1000 + i, *r) for i, *r in messages(60, 2)]
+    index = spark.createDataFrame(known, kind).withColumn("_band", neardup._band(F.col("_msg")))
+    met = []
+    all_at_once = neardup._first_of
+    monkeypatch.setattr(neardup, "_first_of", lambda items, *rest: met.append(items.count()) or all_at_once(items, *rest))
+    got = {r.ord: r.leader for r in neardup.first_in_index(spark.createDataFrame(new, kind), index, 0.85, both_ways=False).collect()}
+    want = {}
+    for o, t, m, _ in new:
+        alike = [k for k, kt, km, _ in known if kt == t and SequenceMatcher(None, m, km).ratio() >= 0.85]
+        if alike:
+            want[o] = min(alike)
+    assert got == want and len(want) > 20
+    assert met[0] == 60 and len(met) > 2 and met[-1] <= 60 - len(want) // 2  # what is found early goes no further
+
+
+def test_blocks_meet_leaders_in_more_than_one_task(spark, monkeypatch):
+    rows = [(i, "A", f"order {'x' * (i % 40)} failed with payload {i * 7919 % 1000:03d}", "") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_ord long, Exception_Type string, Exception_Message string, Error_Code string")
+    df = df.withColumn("Exception_Message", F.translate("Exception_Message", "0123456789", "abcdefghij"))
+    tasks, cut = [], neardup.cut
+
+    def watched(one):
+        out = cut(one)
+        if "sims" in out.columns:
+            tasks.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(neardup, "cut", watched)
+    neardup.near_dup_groups(df, seeds=8).count()
+    assert tasks and min(tasks) > 1

@@ -78,11 +78,15 @@ def kb_signature(d: Column, resolution: Column, action: Column) -> Column:
     ))
 
 
+def _step(df: DataFrame) -> str:
+    return "`Suggested Step`" if "Suggested Step" in df.columns else "Action"
+
+
 def kb_candidates(df: DataFrame) -> DataFrame:
     """Admitted rows as entries, repeats included. Needs `row_ord` and `Module`."""
     df = kb_normalize(df)
     d = F.col("d")
-    step = F.col("`Suggested Step`") if "Suggested Step" in df.columns else F.col("Action")
+    step = F.col(_step(df))
     process = F.col("Process_Name") if "Process_Name" in df.columns else F.lit("")
     added_at = F.col("Added_At") if "Added_At" in df.columns else F.lit(None).cast("string")
     return with_details(df).filter(admitted()).select(
@@ -111,9 +115,16 @@ def entry_id(tag: str | None) -> Column:
     return F.concat_ws("_", "module", F.col("row_ord").cast("string"), F.substring("signature", 1, 8))
 
 
+def _first_entries(df: DataFrame) -> DataFrame:
+    """First entry per module and signature. Of rows alike in all that a signature is made of, only the first is parsed."""
+    df = kb_normalize(df)
+    raw = first_per(df, ["Module", "EVENT_INFORMATION", "Resolution", _step(df)])
+    return first_per(kb_candidates(raw), ["module", "signature"])
+
+
 def kb_build(df: DataFrame) -> DataFrame:
     """Fresh knowledge base: first row per module and signature."""
-    return first_per(kb_candidates(df), ["module", "signature"]).withColumn("id", entry_id(None))
+    return _first_entries(df).withColumn("id", entry_id(None))
 
 
 def kb_load_report(df: DataFrame) -> DataFrame:
@@ -131,7 +142,7 @@ def kb_load_report(df: DataFrame) -> DataFrame:
 
 def kb_append(stored: DataFrame, df: DataFrame) -> DataFrame:
     """New entries only: neither stored already nor earlier in the same file."""
-    fresh = first_per(kb_candidates(df), ["module", "signature"])
+    fresh = _first_entries(df)
     return fresh.join(stored.select("module", "signature").distinct(), ["module", "signature"], "left_anti").withColumn(
         "id", entry_id("append")
     )

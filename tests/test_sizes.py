@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from faultline import session
-from faultline.operators import neardup
+from faultline.operators import grouping, kb, neardup
 from faultline.plans import q_jobs, standins
 from faultline.sources import files, tables
 from faultline.streaming import jobs as streams
@@ -96,3 +96,13 @@ def test_blocks_meet_leaders_in_more_than_one_task(spark, monkeypatch):
     monkeypatch.setattr(neardup, "cut", watched)
     neardup.near_dup_groups(df, seeds=8).count()
     assert tasks and min(tasks) > 1
+
+
+def test_repeated_entries_are_parsed_once(spark, monkeypatch):
+    rows = standins.view(spark, SF, "kbfile")
+    parsed, candidates = [], kb.kb_candidates
+    want = grouping.first_per(candidates(rows), ["module", "signature"])
+    monkeypatch.setattr(kb, "kb_candidates", lambda df: parsed.append(df.count()) or candidates(df))
+    got = kb.kb_build(rows).drop("id")
+    assert parsed[0] < rows.count() * 0.8
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))

@@ -64,7 +64,7 @@ def messages(n, seed):
 
 
 def test_layers_of_an_index_find_the_first_alike(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "INDEX_BLOCK", 24)
+    monkeypatch.setattr(neardup, "INDEX_BLOCK", 8)
     kind = "ord long, _t string, _msg string, _code string"
     known, new = messages(120, 1), [(1000 + i, *r) for i, *r in messages(60, 2)]
     index = spark.createDataFrame(known, kind).withColumn("_band", neardup._band(F.col("_msg")))

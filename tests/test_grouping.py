@@ -181,3 +181,59 @@ def test_batches_group_as_one_log(spark, monkeypatch, seed):
         by_leader.setdefault(leader, set()).add(row)
     assert sorted(map(sorted, by_group.values())) == sorted(map(sorted, by_leader.values()))
     assert known.count() == len(by_leader) == known.select("group_ord").distinct().count()
+
+
+@pytest.mark.parametrize("n,seed,most", [(160, 1, 16), (70, 5, 1)])
+def test_large_rounds_are_settled_by_all_tasks_and_equal_the_sequential_rule(spark, monkeypatch, n, seed, most):
+    in_one_task = []
+    settle = neardup._settled_apart
+    monkeypatch.setattr(neardup, "MAX_SEEDS", 4)
+    monkeypatch.setattr(neardup, "MOST_EARLIER", most)  # 1: most messages are not certain at once
+    monkeypatch.setattr(neardup, "SIDE_BLOCK", 8)
+    monkeypatch.setattr(neardup, "_settled_apart", lambda heads, *a: in_one_task.append(heads.count()) or settle(heads, *a))
+    rows = random_rows(n, seed)
+    df = spark.createDataFrame(rows, "row_ord long, Exception_Type string, Exception_Message string, Error_Code string")
+    got = {r.row_ord: r.leader_ord for r in neardup.near_dup_groups(df, seeds=4).collect()}
+    assert got == sequential(rows) and max(in_one_task) > 16
+
+
+def _edited(rnd, text):
+    chars = list(text)
+    for _ in range(rnd.randint(0, max(1, len(chars) // 12))):
+        at = rnd.randrange(len(chars) + 1)
+        chars[at : at + rnd.randint(0, 4)] = rnd.choice(["", "ab", "x", "qq ", "\n", "\U0001f600"])
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("most_meets", [0, 1 << 21])
+def test_blocks_are_those_of_the_ratio(monkeypatch, most_meets):
+    monkeypatch.setattr(similarity, "_MOST_MEETS", most_meets)
+    rnd = random.Random(9)
+    for size in (1, 7, 60, 199, 200, 201, 900):
+        for _ in range(12):
+            a = "".join(rnd.choices("etaoinshr dlu,.QZ\u00e9", k=size))
+            b = _edited(rnd, a)
+            matcher = SequenceMatcher(None, a, b)
+            starts = similarity.block_starts_of(b)
+            assert starts == matcher.b2j
+            want = sum(x.size for x in matcher.get_matching_blocks())
+            assert similarity.matched(a, b, starts, 0) == want
+            assert similarity.matched(a, b, starts, want + 1) is None
+
+
+def test_long_texts_are_told_apart_by_one_product(monkeypatch):
+    """Runs are counted pair by pair only for pairs that the product of roots leaves, and no similar pair is lost."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(150)) for _ in range(60)]
+    texts += [" ".join(w if rnd.random() > 0.02 else word() for w in t.split()) for t in texts[:10]]
+    rowwise = []
+    counted = similarity.Matcher._long_rows
+    monkeypatch.setattr(similarity.Matcher, "_long_rows", lambda self, rows, buckets: rowwise.append(len(rows)) or counted(self, rows, buckets))
+    m, everything = similarity.Matcher(texts, [""] * len(texts)), np.arange(len(texts))
+    kept = m.maybe(m, everything, everything, 0.85, True)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if (SequenceMatcher(None, a, b).ratio() + SequenceMatcher(None, b, a).ratio()) / 2 >= 0.85:
+                assert j in kept[i]
+    assert sum(rowwise) < 10 * len(texts)  # pair by pair it was every text for every other

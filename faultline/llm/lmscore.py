@@ -13,8 +13,12 @@ words to expect, the corpus how frequent they are, and words that were never cou
 
 Counts are exact for every word: blocks of documents keep their distinct words as sorted 64-bit digests, and
 meet, slice by slice of the digests, to be summed; each block gets its words' sums back. No table of words is
-ever sent whole. The attention weights are fitted on about `SAMPLE` training texts (the bound of the fit);
-ids, word ends and words are counted in all of them.
+ever sent whole.
+
+All training texts fit the model: classes of ids come from the ids beside them in the whole corpus; the attention
+weights begin at a short fit on the driver (about `SAMPLE` texts), and from there every partition of the corpus goes once
+through all its training ids, in windows that don't overlap. What the partitions have learnt is averaged: an id's vector by how often they met it,
+other weights by how many ids they have seen.
 
 Defined results: a null text is empty and has the end token alone; repeated rows count each time; with no
 training text all counts are 0 and the model is untrained (uniform classes), N = 0; an empty table gives no rows.
@@ -22,9 +26,9 @@ training text all counts are 0 and the model is untrained (uniform classes), N =
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 import numpy as np
@@ -43,11 +47,14 @@ SAMPLE = 1200
 END = 50257
 CLASSES, WIDTH = 48, 16
 WINDOW, STRIDE = 32, 24
-#: Windows of a training round, rounds, windows in a batch.
+#: Windows of a round of the first fit, rounds, windows in a batch; rate at the first fit's begin and end, and in the pass over the corpus.
 ROUND, ROUNDS, BATCH = 6000, 6, 100
+RATES, CORPUS_BATCH = (0.02, 0.005), 200
+#: Buckets of the ids on one side.
+NEAR = 64
 DISCOUNT = 0.75
 #: Words in a block of documents (a longer text is a block of its own), and windows scored together.
-BLOCK, TOGETHER = 400_000, 1500
+BLOCK, TOGETHER = 400_000, 250
 
 _F = np.float32
 
@@ -211,11 +218,9 @@ class Model:
     held: np.ndarray  # words of each class in the training texts: all, and distinct
 
     def tables(self) -> dict[str, np.ndarray]:
-        """Queries (scaled), keys and values by id and by place."""
-        out = {k: self.p["e"] @ self.p[k] for k in "qkv"} | {f"{k}p": self.p["e_at"] @ self.p[k] for k in "qkv"}
-        for k in ("q", "qp"):
-            out[k] *= _F(1 / np.sqrt(WIDTH))
-        return out
+        """Keys, values, scaled queries and vectors side by side, by id and by place."""
+        make = lambda e: np.concatenate([e @ self.p["k"], e @ self.p["v"], e @ self.p["q"] * _F(1 / np.sqrt(WIDTH)), e], axis=1)
+        return {"all": make(self.p["e"]), "allp": make(self.p["e_at"])}
 
 
 def _tame(x: np.ndarray) -> bool:
@@ -235,55 +240,96 @@ def _new_params(seed: int) -> dict[str, np.ndarray]:
         "o0": np.zeros((WIDTH, CLASSES + 1), _F), "o1": np.zeros((WIDTH, CLASSES), _F), "b0": np.zeros(CLASSES + 1, _F), "b1": np.zeros(CLASSES, _F)}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+def _softmax(x: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Over the last axis, in place."""
+    tame = _tame(x)
+    if mask is not None:
+        x += mask.astype(x.dtype, copy=False)
+    if not tame:
+        x -= x.max(axis=-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= _row_sums(x)
+    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the (short) last axis, by a product with ones."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
 
 
 def _step(p: dict[str, np.ndarray], ids: np.ndarray, kinds: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradients for windows: ids, kind (0 begins a word, 1 continues, -1 none), class and weight of the next id."""
     x = p["e"][ids] + p["e_at"][None, : ids.shape[1]]
-    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-    a = _softmax(q @ k.transpose(0, 2, 1) / _F(np.sqrt(WIDTH)) + _MASK)
+    flat, scale = lambda z: z.reshape(-1, WIDTH), x.dtype.type(1 / np.sqrt(WIDTH))
+    q, k, v = ((flat(x) @ p[c]).reshape(x.shape) for c in "qkv")
+    q *= scale
+    a = _softmax(q @ k.transpose(0, 2, 1), _MASK)
     h = x + a @ v
     g = {n: np.zeros_like(w) for n, w in p.items() if n != "e"}
-    dh, loss, n = np.zeros_like(h), 0.0, max(1, int((kinds >= 0).sum()))
+    hidden, dh, loss, n = flat(h), np.zeros_like(flat(h)), 0.0, max(1, int((kinds >= 0).sum()))
     for kind in (0, 1):
-        at = np.nonzero(kinds == kind)
-        y = _softmax(h[at] @ p[f"o{kind}"] + p[f"b{kind}"])
-        rows = np.arange(len(y))
-        loss -= float(np.log(y[rows, target[at]] + 1e-9).sum())
-        y[rows, target[at]] -= 1
-        y *= weight[at][:, None] / n
-        g[f"o{kind}"], g[f"b{kind}"] = h[at].T @ y, y.sum(axis=0)
+        at = np.flatnonzero(kinds.ravel() == kind)
+        y = _softmax(hidden[at] @ p[f"o{kind}"] + p[f"b{kind}"])
+        rows, to = np.arange(len(y)), target.ravel()[at]
+        loss -= float(np.log(y[rows, to] + 1e-9).sum())
+        y[rows, to] -= 1
+        y *= (weight.ravel()[at] / n)[:, None].astype(y.dtype)
+        g[f"o{kind}"], g[f"b{kind}"] = hidden[at].T @ y, y.sum(axis=0)
         dh[at] = y @ p[f"o{kind}"].T
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / _F(np.sqrt(WIDTH))
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-    flat = lambda z: z.reshape(-1, WIDTH)
+    dh = dh.reshape(h.shape)
+    ds = dh @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+    ds *= a
+    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = flat(x).T @ flat(d)
-        dh = dh + d @ p[name].T
+        dh = dh + (flat(d) @ p[name].T).reshape(dh.shape)
     g["e_at"][: ids.shape[1]] = dh.sum(axis=0)
     used, place = np.unique(ids, return_inverse=True)
-    rows = np.zeros((len(used), WIDTH), _F)
-    np.add.at(rows, place.ravel(), flat(dh))
-    g["e"] = (used, rows)
+    cell = (place.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    g["e"] = (used, np.bincount(cell, weights=dh.ravel(), minlength=len(used) * WIDTH).reshape(-1, WIDTH).astype(_F))
     return loss / n, g
 
 
-def _cluster(texts: list[np.ndarray], seed: int) -> np.ndarray:
-    """Classes of ids by the ids around them: k-means over hashed neighbours. Unseen ids share the last class."""
+class _Fit:
+    """Weights being fitted, by steps of Adam; an id's vector takes part in the steps that meet it."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.t = {k: v.copy() for k, v in p.items()}, 0
+        self.m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+
+    def step(self, ids: np.ndarray, kinds: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        self.t += 1
+        _, g = _step(self.p, ids, kinds, target, weight)
+        for name, w in self.p.items():
+            m = self.m[name]
+            if name == "e":
+                used, d = g["e"]
+                m[0][used] = one = 0.9 * m[0][used] + 0.1 * d
+                m[1][used] = two = 0.99 * m[1][used] + 0.01 * d * d
+                w[used] -= _F(rate) * one / (np.sqrt(two) + _F(1e-6))
+            else:
+                m[0] = 0.9 * m[0] + 0.1 * g[name]
+                m[1] = 0.99 * m[1] + 0.01 * g[name] ** 2
+                w -= (rate * (m[0] / (1 - 0.9**self.t)) / (np.sqrt(m[1] / (1 - 0.99**self.t)) + 1e-6)).astype(_F)
+
+
+def _beside(flat: np.ndarray, kinds: np.ndarray, out: np.ndarray, seed: int = 3) -> None:
+    """Adds texts laid end to end to (END + 1) x (2 NEAR + 1): signed counts of the hashed ids before and after each id, and how often it stands."""
     rng = np.random.default_rng(seed)
-    size = 128
-    sign = rng.normal(size=(END + 1, size // 2)).astype(_F)
-    near = np.zeros((END + 1, size), _F)
-    count = np.zeros(END + 1, np.int64)
-    for t in texts:
-        np.add.at(near[:, : size // 2], t[1:], sign[t[:-1]])
-        np.add.at(near[:, size // 2 :], t[:-1], sign[t[1:]])
-        count += np.bincount(t, minlength=END + 1)
+    bucket, sign = rng.integers(0, NEAR, END + 1), rng.integers(0, 2, END + 1) * 2 - 1
+    at = np.flatnonzero(kinds >= 0)
+    before, after = flat[at - 1], flat[at]
+    for k, (of, other) in enumerate(((after, before), (before, after))):
+        out[:, NEAR * k : NEAR * (k + 1)] += np.bincount(of * NEAR + bucket[other], weights=sign[other], minlength=(END + 1) * NEAR).reshape(-1, NEAR)
+    out[:, -1] += np.bincount(flat, minlength=END + 1)
+
+
+def _cluster(beside: np.ndarray) -> np.ndarray:
+    """Classes of ids by the ids around them: k-means over hashed neighbours (of `_beside`). Unseen ids share the last class."""
+    near, count = beside[:, :-1].astype(_F), beside[:, -1]
     out = np.full(END + 1, CLASSES - 1)
+    out[END] = CLASSES
     seen = np.flatnonzero(count[:END])
     if not len(seen):
         return out
@@ -300,28 +346,28 @@ def _cluster(texts: list[np.ndarray], seed: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[str | None], counts: np.ndarray, by_first: np.ndarray, tokenizer: str, seed: int = 3) -> Model:
-    """Fits classes and attention on `texts`; `counts` (of id_counts) and `by_first` come from the whole corpus."""
+def _inner_weight(counts: np.ndarray) -> np.ndarray:
+    """Weight of the ids inside a word, by its first id: they matter for rare words, so the less the more often the id's words stand on average."""
+    return (3 / np.sqrt(np.maximum(1, counts[3]) / np.maximum(1, counts[0]))).astype(_F)
+
+
+def train(texts: list[str | None], counts: np.ndarray, by_first: np.ndarray, tokenizer: str, seed: int = 3, beside: np.ndarray | None = None) -> Model:
+    """The model from which `fit_corpus` goes on: attention is fitted on `texts`; `counts` (of id_counts), `by_first` and `beside` come from the whole corpus."""
     rng = np.random.default_rng(seed)
     known = subwords(tokenizer)
     rows, kinds, weights = [], [], []
-    texts = sorted(t or "" for t in texts)
-    often = Counter(w for t in texts for w in words_of(t))
-    for text in texts:
+    inner = _inner_weight(counts)
+    for text in sorted(t or "" for t in texts):
         words = words_of(text)
         distinct = list(dict.fromkeys(words))
         ids = dict(zip(distinct, known.words(distinct)))
         parts = [np.frombuffer(ids[w], np.uint16) for w in words]
-        # ids inside words matter for rare words
-        weights.append(np.concatenate([[0], *[np.where(np.arange(len(x)), 3 / np.sqrt(often[w]), 1) for w, x in zip(words, parts)], [1]]))
+        weights.append(np.concatenate([[0], *[np.where(np.arange(len(x)), inner[x[0]], 1) for x in parts], [1]]))
         rows.append(np.concatenate([[END], *parts, [END]]).astype(np.int64))
         kinds.append(np.concatenate([[-1], *[np.minimum(np.arange(len(x)), 1) for x in parts], [0]]).astype(np.int64))
-    classes = _cluster(rows, seed)
-    classes[END] = CLASSES
-    p = _new_params(seed)
-    m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
+    classes = _cluster(np.zeros((END + 1, 2 * NEAR + 1)) if beside is None else beside)
+    fit = _Fit(_new_params(seed))
     sizes = np.array([max(1, len(r) - 1) for r in rows], float)
-    t = 0
     for rnd in range(ROUNDS if rows else 0):
         pick = rng.choice(len(rows), ROUND, p=sizes / sizes.sum())
         for a in range(0, ROUND, BATCH):
@@ -333,25 +379,13 @@ def train(texts: list[str | None], counts: np.ndarray, by_first: np.ndarray, tok
                 n = min(WINDOW, len(r) - 1 - s)
                 ids[j, :n], kind[j, :n], target[j, :n] = r[s : s + n], k[s + 1 : s + 1 + n], classes[r[s + 1 : s + 1 + n]]
                 weight[j, :n] = weights[i][s + 1 : s + 1 + n]
-            t += 1
-            rate = 0.02 * (1 - 0.9 * rnd / ROUNDS)
-            _, g = _step(p, ids, kind, target, weight)
-            for name, w in p.items():
-                if name == "e":
-                    used, d = g["e"]
-                    m[name][0][used] = 0.9 * m[name][0][used] + 0.1 * d
-                    m[name][1][used] = 0.99 * m[name][1][used] + 0.01 * d * d
-                    w[used] -= _F(rate) * m[name][0][used] / (np.sqrt(m[name][1][used]) + _F(1e-6))
-                else:
-                    m[name][0] = 0.9 * m[name][0] + 0.1 * g[name]
-                    m[name][1] = 0.99 * m[name][1] + 0.01 * g[name] ** 2
-                    w -= (rate * (m[name][0] / (1 - 0.9**t)) / (np.sqrt(m[name][1] / (1 - 0.99**t)) + 1e-6)).astype(_F)
+            fit.step(ids, kind, target, weight, RATES[0] + (RATES[1] - RATES[0]) * rnd / max(1, ROUNDS - 1))
     smooth = counts[:2] + 0.05
     smooth[:, END] = 1
     within = np.stack([np.log(s / np.bincount(classes, weights=s, minlength=CLASSES + 1)[classes]) for s in smooth]).astype(_F)
     ended = (counts[2] + 0.5) / (counts[0] + counts[1] + 1)
     held = np.stack([np.bincount(classes, weights=x, minlength=CLASSES + 1) for x in (counts[3], by_first)])
-    return Model(p, classes, within, np.log(ended).astype(_F), np.log1p(-ended).astype(_F), held)
+    return Model(fit.p, classes, within, np.log(ended).astype(_F), np.log1p(-ended).astype(_F), held)
 
 
 def id_scores(model: Model, tables: dict[str, np.ndarray], ids: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,39 +399,59 @@ def id_scores(model: Model, tables: dict[str, np.ndarray], ids: np.ndarray, kind
     first = begin[which] + start  # of the window's inputs
     new = np.where(start > 0, WINDOW - STRIDE, 0)  # inputs before this were scored by the window before
     live = np.minimum(WINDOW, length[which] - start)
-    at = np.arange(WINDOW)
-    p = model.p
-    for a in range(0, len(first), TOGETHER):
-        f, b, e = first[a : a + TOGETHER], new[a : a + TOGETHER], live[a : a + TOGETHER]
-        place = np.minimum(f[:, None] + at, len(ids) - 2)
-        x = ids[place]
-        q, k, v = (tables[c][x] + tables[c + "p"] for c in "qkv")
-        s = q @ k.transpose(0, 2, 1)
-        tame = _tame(s)
-        s += _MASK
-        if not tame:
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        mixed = s @ v
-        mixed /= s.sum(axis=2, keepdims=True)
-        mixed += p["e"][x] + p["e_at"]
-        scored = (at >= b[:, None]) & (at < e[:, None])
-        h, target = mixed[scored], place[scored] + 1
-        for kind in (0, 1):
-            some = np.flatnonzero(kinds[target] == kind)
-            if not len(some):
-                continue
-            to = target[some]
-            y = h[some] @ p[f"o{kind}"]
-            y += p[f"b{kind}"]
-            if not _tame(y):
-                y -= y.max(axis=1, keepdims=True)
-            right = y[np.arange(len(to)), model.classes[ids[to]]]
-            np.exp(y, out=y)
-            out[to] = right - np.log(y.sum(axis=1))
+    p, wide, wide_at = model.p, tables["all"], tables["allp"]
+    for lead in (0, WINDOW - STRIDE):  # first windows score all their places, further ones only the new
+        group = np.flatnonzero(new == lead)
+        at = np.arange(WINDOW)
+        for a in range(0, len(group), TOGETHER):
+            some = group[a : a + TOGETHER]
+            place = np.minimum(first[some][:, None] + at, len(ids) - 2)
+            x = wide[ids[place]]
+            x += wide_at
+            k, v, q, e = (x[:, lead if i > 1 else 0 :, WIDTH * i : WIDTH * (i + 1)] for i in range(4))
+            s = q @ k.transpose(0, 2, 1)
+            tame = _tame(s)
+            s += _MASK[lead:]
+            if not tame:
+                s -= s.max(axis=2, keepdims=True)
+            np.exp(s, out=s)
+            mixed = s @ v
+            mixed /= _row_sums(s)
+            mixed += e
+            told = np.where(at[lead:] < live[some][:, None], kinds[place[:, lead:] + 1], -1).ravel()
+            mixed, to = mixed.reshape(-1, WIDTH), place[:, lead:].ravel() + 1
+            for kind in (0, 1):
+                rows = np.flatnonzero(told == kind)
+                if not len(rows):
+                    continue
+                y = mixed[rows] @ p[f"o{kind}"]
+                y += p[f"b{kind}"]
+                if not _tame(y):
+                    y -= y.max(axis=1, keepdims=True)
+                right = y[np.arange(len(rows)), model.classes[ids[to[rows]]]]
+                np.exp(y, out=y)
+                out[to[rows]] = right - np.log(_row_sums(y)[:, 0])
     return out, np.where(kinds < 0, 0, model.within[np.maximum(kinds, 0), ids])
 
 
+def _laid_out(lengths: np.ndarray, words: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids and kinds of all texts end to end (END first and last of each), each text's first place and its ids, each inner id's place, place in its word and size of its word's ids."""
+    docs = len(lengths)
+    doc_of = np.repeat(np.arange(docs), lengths)
+    size = sizes[words]
+    begin = np.cumsum(sizes) - sizes
+    per_doc = np.bincount(doc_of, weights=size, minlength=docs).astype(np.int64)
+    head = np.cumsum(per_doc + 2) - (per_doc + 2)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    place = np.repeat(np.cumsum(size) - size + 2 * doc_of + 1, size) + within  # every text before adds two ends
+    flat = np.full(int((per_doc + 2).sum()), END, np.int64)
+    kinds = np.zeros(len(flat), np.int8)
+    flat[place] = ids[np.repeat(begin[words], size) + within]
+    kinds[place] = within > 0
+    kinds[head] = -1
+    return flat, kinds, head, per_doc, place, within, size
+
+
 def block_scores(model: Model, tables: dict, totals: Totals, lengths, words, sums, sizes, ids) -> tuple[np.ndarray, ...]:
     """(n_tokens, n_known, base_score, score) of a block's documents."""
     lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
@@ -408,20 +462,9 @@ def block_scores(model: Model, tables: dict, totals: Totals, lengths, words, sum
     by_doc = lambda x: np.bincount(doc_of, weights=x, minlength=docs)
     known = by_doc((sums > 0)[words]).astype(np.int64) + (totals.ends > 0)
     base_score = by_doc(base(sums)[words]) + base(ends)[0]
-    # the ids of all texts, END first and last
-    size = sizes[words]
-    begin = np.cumsum(sizes) - sizes
-    per_doc = np.bincount(doc_of, weights=size, minlength=docs).astype(np.int64)
-    head = np.cumsum(per_doc + 2) - (per_doc + 2)
-    place = np.repeat(np.cumsum(size) - size + 2 * doc_of + 1, size)  # every text before adds two ends
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    flat = np.full(int((per_doc + 2).sum()), END, np.int64)
-    kinds = np.zeros(len(flat), np.int8)
-    flat[place + within] = ids[np.repeat(begin[words], size) + within]
-    kinds[place + within] = within > 0
-    kinds[head] = -1
+    flat, kinds, head, per_doc, at, within, size = _laid_out(lengths, words, sizes, ids)
     by_class, by_id = id_scores(model, tables, flat, kinds)
-    here, at = flat[place + within], place + within
+    here = flat[at]
     per_id = by_id[at] + np.where(within > 0, by_class[at], 0) + np.where(within == np.repeat(size, size) - 1, model.stop[here], model.go[here])
     sub = np.bincount(np.repeat(np.arange(len(words)), size), weights=per_id, minlength=len(words))
     first = at[within == 0]
@@ -433,13 +476,147 @@ def block_scores(model: Model, tables: dict, totals: Totals, lengths, words, sum
     return lengths + 1, known, base_score, score
 
 
+# ---- what all training texts tell --------------------------------------------------------------------------------
+
+#: Numbers in a piece of a sum.
+PIECE = 1 << 18
+
+
+def _laid_out_training(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, ...], np.ndarray]]:
+    """(number, layout, inner ids' first ids) of each block's training texts."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            train, lengths, words, sizes, ids = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("train", bool), ("lengths", np.uint32), ("words", np.uint32), ("sizes", np.uint32), ("ids", np.uint16)))
+            if train.any():
+                lengths, sizes = lengths.astype(np.int64), sizes.astype(np.int64)
+                words = words[np.repeat(train, lengths)]
+                layout = _laid_out(lengths[train], words, sizes, ids)
+                yield batch.column("block")[k].as_py(), layout, np.repeat(ids[(np.cumsum(sizes) - sizes)[words]], layout[-1])
+
+
+def _summed(made: DataFrame, one, size: int) -> np.ndarray:
+    """Sum of the vectors that `one` makes of the blocks of a task. There are about as many tasks as cores, so that what they send doesn't grow with the corpus."""
+    spark = made.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        out, part = one(_laid_out_training(batches)), TaskContext.get().partitionId()
+        for i in range(0, size, PIECE):
+            if out[i : i + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE]), pa.array([part]), pa.array([out[i : i + PIECE].tobytes()], pa.binary())], ["piece", "part", "v"])
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("part").to_pylist(), range(table.num_rows)))
+        total = sum(np.frombuffer(table.column("v")[i].as_py()) for _, i in parts)
+        return pa.table({"piece": table.column("piece")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    rows = made.select("block", "train", "lengths", "words", "sizes", "ids").coalesce(spark.sparkContext.defaultParallelism)
+    out, key = np.zeros(size), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = spark.conf.get(key)
+    spark.conf.set(key, 4)  # a task reads many blocks, of some MB each
+    try:
+        for r in rows.mapInArrow(run, "piece long, part long, v binary").groupBy("piece").applyInArrow(add, "piece long, v binary").toLocalIterator():
+            v = np.frombuffer(r["v"])
+            out[r["piece"] * PIECE : r["piece"] * PIECE + len(v)] = v
+    finally:
+        spark.conf.set(key, most)
+    return out
+
+
+def ids_beside(made: DataFrame) -> np.ndarray:
+    """`_beside` over all training texts."""
+
+    def one(blocks):
+        out = np.zeros((END + 1, 2 * NEAR + 1))
+        for _, (flat, kinds, *_), _ in blocks:
+            _beside(flat, kinds, out)
+        return out.ravel()
+
+    return _summed(made, one, (END + 1) * (2 * NEAR + 1)).reshape(END + 1, -1)
+
+
+def _windows(model: Model, inner: np.ndarray, layout: tuple[np.ndarray, ...], firsts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ids, kinds, classes and weights of the next ids, of windows that hold each id of the texts once."""
+    flat, kinds, head, per_doc, at, within, _ = layout
+    weight = np.ones(len(flat), _F)
+    weight[at] = np.where(within > 0, inner[firsts], 1)
+    length = per_doc + 1  # ids to be told
+    n = -(-length // WINDOW)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    step = np.arange(WINDOW)
+    place = np.repeat(head, n)[:, None] + start[:, None] + step
+    live = start[:, None] + step < np.repeat(length, n)[:, None]
+    place = np.minimum(place, len(flat) - 2)
+    ids, place = np.where(live, flat[place], END).astype(np.uint16), place + 1
+    return ids, np.where(live, kinds[place], np.int8(-1)), model.classes[flat[place]].astype(np.uint8), weight[place]
+
+
+def fit_corpus(made: DataFrame, model: Model, counts: np.ndarray) -> Model:
+    """The model after a pass over all training texts.
+
+    Each partition of the texts goes on from the model's weights on its own, with all its ids. An id's vector moves by the mean of the partitions' moves,
+    weighted by how often they met the id, all other weights by the mean weighted by their ids.
+    """
+    inner, names = _inner_weight(counts), [k for k in model.p if k != "e"]
+    shared = made.sparkSession.sparkContext.broadcast((model, inner))
+    dense = sum(model.p[k].size for k in names)
+    size = (END + 1) * (WIDTH + 1) + dense + 1
+
+    def one(blocks):
+        model, inner = shared.value
+        out = np.zeros(size)
+        e, rest = out[: (END + 1) * (WIDTH + 1)].reshape(END + 1, WIDTH + 1), out[(END + 1) * (WIDTH + 1) :]
+        fit = held = of = None
+
+        def steps(last: bool):
+            nonlocal held
+            full = len(held[0]) if last else len(held[0]) // CORPUS_BATCH * CORPUS_BATCH
+            for a in range(0, full, CORPUS_BATCH):
+                batch = [x[a : min(full, a + CORPUS_BATCH)] for x in held]
+                fit.step(*batch, RATES[1])
+                met[:] += np.bincount(batch[0][batch[1] >= 0], minlength=END + 1)
+            held = [x[full:] for x in held]
+
+        def close():
+            steps(True)
+            e[:, :-1] += met[:, None] * (fit.p["e"].astype(float) - model.p["e"])
+            e[:, -1] += met
+            moved = np.concatenate([(fit.p[k].astype(float) - model.p[k]).ravel() for k in names])
+            rest[:-1] += met.sum() * moved
+            rest[-1] += met.sum()
+
+        for number, layout, firsts in blocks:
+            if of != number >> 32:
+                if fit:
+                    close()
+                fit, held, of, met = _Fit(model.p), None, number >> 32, np.zeros(END + 1)
+            new = _windows(model, inner, layout, firsts)
+            held = list(new) if held is None else [np.concatenate(x) for x in zip(held, new)]
+            steps(False)
+        if fit:
+            close()
+        return out
+
+    total = _summed(made, one, size)
+    shared.unpersist()
+    e, rest = total[: (END + 1) * (WIDTH + 1)].reshape(END + 1, WIDTH + 1), total[(END + 1) * (WIDTH + 1) :]
+    p = {"e": (model.p["e"] + e[:, :-1] / np.maximum(e[:, -1:], 1)).astype(_F)}
+    moved, at = rest[:-1] / max(rest[-1], 1), 0
+    for k in names:
+        n = model.p[k].size
+        p[k] = (model.p[k] + moved[at : at + n].reshape(model.p[k].shape)).astype(_F)
+        at += n
+    return replace(model, p=p)
+
+
 def score(spark: SparkSession, docs: DataFrame, train_on: Column, tokenizer: str, sample_key: Column | None = None) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score; learns where `train_on` is true."""
     made = blocks(docs, train_on, tokenizer)
     sums, totals = word_totals(made)
     counts = id_counts(made, totals.by_id)
     sample = bounded(docs.where(train_on), F.col("doc_id") if sample_key is None else sample_key, SAMPLE)
-    shared = spark.sparkContext.broadcast((train([r[0] for r in sample.select("text").collect()], counts, totals.by_id[0], tokenizer), totals))
+    model = train([r[0] for r in sample.select("text").collect()], counts, totals.by_id[0], tokenizer, beside=ids_beside(made))
+    shared = spark.sparkContext.broadcast((fit_corpus(made, model, counts), totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()

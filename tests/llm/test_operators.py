@@ -236,6 +236,42 @@ def test_scores_do_not_follow_the_blocks(spark, monkeypatch):
     assert np.allclose(*scores, atol=1e-3)
 
 
+def test_every_training_text_fits_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SAMPLE", 2)
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("the cat sat on a mat and the dog ran".split()) for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = {r.doc_id for r in lmscore.bounded(docs.where("doc_id < 40"), F.col("doc_id"), lmscore.SAMPLE).collect()}
+    other = min(set(range(40)) - first)
+    # the same words in another order: all counts stay
+    turned = docs.withColumn("text", F.when(F.col("doc_id") == other, " ".join(sorted(texts[other].split()))).otherwise(F.col("text")))
+    a, b = (lmscore.score(spark, d.repartition(3, "doc_id"), F.col("doc_id") < 40, tokenizer_path("byte_bpe_50k.json")).toPandas().sort_values("doc_id") for d in (docs, turned))
+    assert np.allclose(a.base_score, b.base_score)
+    held = (a.doc_id >= 40).to_numpy()
+    assert (np.abs(a.score.to_numpy() - b.score.to_numpy())[held] > 1e-5).all()
+
+
+def test_ids_beside_and_windows_hold_every_training_id(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 7}" for k in range(30 + i))) for i in range(12)] + [(12, None)], "doc_id long, text string")
+    made = lmscore.blocks(docs.repartition(3), F.col("doc_id") % 4 != 1, tokenizer_path("byte_bpe_50k.json"))
+    known = Subwords(tokenizer_path("byte_bpe_50k.json"))
+    want, total = np.zeros((lmscore.END + 1, 2 * lmscore.NEAR + 1)), 0
+    model = lmscore.train([], np.ones((4, lmscore.END + 1), int), np.ones(lmscore.END + 1, int), tokenizer_path("byte_bpe_50k.json"))
+    for r in docs.collect():
+        if r.doc_id % 4 != 1:
+            parts = [np.frombuffer(x, np.uint16) for x in known.words(lmscore.words_of(r.text))]
+            ids = np.concatenate([[lmscore.END], *parts, [lmscore.END]]).astype(np.int64)
+            lmscore._beside(ids, np.array([-1] + [0] * (len(ids) - 1)), want)
+            total += len(ids) - 1
+    assert (lmscore.ids_beside(made) == want).all() and want[:, -1].sum() == total + sum(i % 4 != 1 for i in range(13))
+    got = 0
+    for _, layout, firsts in lmscore._laid_out_training(made.toArrow().to_batches()):
+        ids, kinds, _, _ = lmscore._windows(model, np.ones(lmscore.END + 1, np.float32), layout, firsts)
+        got += int((kinds >= 0).sum())
+        assert ids.shape[1] == lmscore.WINDOW
+    assert got == total
+
+
 # ---- 4 ----------------------------------------------------------------------------------------------------------
 
 

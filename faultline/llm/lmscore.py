@@ -26,6 +26,7 @@ training text all counts are 0 and the model is untrained (uniform classes), N =
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -50,8 +51,8 @@ WINDOW, STRIDE = 32, 24
 #: Windows of a round of the first fit, rounds, windows in a batch; rate at the first fit's begin and end, and in the pass over the corpus.
 ROUND, ROUNDS, BATCH = 6000, 6, 100
 RATES, CORPUS_BATCH = (0.02, 0.005), 200
-#: Buckets of the ids on one side.
-NEAR = 64
+#: Buckets of the ids on one side, and ids counted into them together.
+NEAR, BESIDE = 64, 1 << 20
 DISCOUNT = 0.75
 #: Words in a block of documents (a longer text is a block of its own), and windows scored together.
 BLOCK, TOGETHER = 400_000, 250
@@ -317,12 +318,15 @@ class _Fit:
 def _beside(flat: np.ndarray, kinds: np.ndarray, out: np.ndarray, seed: int = 3) -> None:
     """Adds texts laid end to end to (END + 1) x (2 NEAR + 1): signed counts of the hashed ids before and after each id, and how often it stands."""
     rng = np.random.default_rng(seed)
-    bucket, sign = rng.integers(0, NEAR, END + 1), rng.integers(0, 2, END + 1) * 2 - 1
-    at = np.flatnonzero(kinds >= 0)
-    before, after = flat[at - 1], flat[at]
-    for k, (of, other) in enumerate(((after, before), (before, after))):
-        out[:, NEAR * k : NEAR * (k + 1)] += np.bincount(of * NEAR + bucket[other], weights=sign[other], minlength=(END + 1) * NEAR).reshape(-1, NEAR)
-    out[:, -1] += np.bincount(flat, minlength=END + 1)
+    bucket, sign = rng.integers(0, NEAR, END + 1).astype(np.int32), (rng.integers(0, 2, END + 1) * 2 - 1).astype(np.int8)
+    every = np.flatnonzero(kinds >= 0)
+    for a in range(0, len(every), BESIDE):
+        at = every[a : a + BESIDE]
+        before, after = flat[at - 1].astype(np.int32), flat[at].astype(np.int32)
+        for k, (of, other) in enumerate(((after, before), (before, after))):
+            out[:, NEAR * k : NEAR * (k + 1)] += np.bincount(of * NEAR + bucket[other], weights=sign[other], minlength=(END + 1) * NEAR).reshape(-1, NEAR)
+        out[:, -1] += np.bincount(after, minlength=END + 1)
+    out[END, -1] += (kinds < 0).sum()
 
 
 def _cluster(beside: np.ndarray) -> np.ndarray:
@@ -439,14 +443,19 @@ def _laid_out(lengths: np.ndarray, words: np.ndarray, sizes: np.ndarray, ids: np
     docs = len(lengths)
     doc_of = np.repeat(np.arange(docs), lengths)
     size = sizes[words]
-    begin = np.cumsum(sizes) - sizes
     per_doc = np.bincount(doc_of, weights=size, minlength=docs).astype(np.int64)
     head = np.cumsum(per_doc + 2) - (per_doc + 2)
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    place = np.repeat(np.cumsum(size) - size + 2 * doc_of + 1, size) + within  # every text before adds two ends
-    flat = np.full(int((per_doc + 2).sum()), END, np.int64)
+    before = np.cumsum(size) - size
+    narrow = lambda x: x.astype(np.int32) if size.sum() + 2 * docs < 1 << 31 else x
+    within = narrow(np.arange(size.sum()))
+    within -= np.repeat(narrow(before), size)
+    place = np.repeat(narrow(before + 2 * doc_of + 1), size)  # every text before adds two ends
+    place += within
+    flat = np.full(int((per_doc + 2).sum()), END, np.uint16)
     kinds = np.zeros(len(flat), np.int8)
-    flat[place] = ids[np.repeat(begin[words], size) + within]
+    at = np.repeat(narrow((np.cumsum(sizes) - sizes)[words]), size)
+    at += within
+    flat[place] = ids[at]
     kinds[place] = within > 0
     kinds[head] = -1
     return flat, kinds, head, per_doc, place, within, size
@@ -500,6 +509,8 @@ def _summed(made: DataFrame, one, size: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         out, part = one(_laid_out_training(batches)), TaskContext.get().partitionId()
         for i in range(0, size, PIECE):
             if out[i : i + PIECE].any():
@@ -544,10 +555,10 @@ def _windows(model: Model, inner: np.ndarray, layout: tuple[np.ndarray, ...], fi
     n = -(-length // WINDOW)
     start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
     step = np.arange(WINDOW)
-    place = np.repeat(head, n)[:, None] + start[:, None] + step
+    place = np.minimum(np.repeat(head, n)[:, None] + start[:, None] + step, len(flat) - 2)
     live = start[:, None] + step < np.repeat(length, n)[:, None]
-    place = np.minimum(place, len(flat) - 2)
-    ids, place = np.where(live, flat[place], END).astype(np.uint16), place + 1
+    ids = np.where(live, flat[place], np.uint16(END))
+    place += 1
     return ids, np.where(live, kinds[place], np.int8(-1)), model.classes[flat[place]].astype(np.uint8), weight[place]
 
 
@@ -575,7 +586,7 @@ def fit_corpus(made: DataFrame, model: Model, counts: np.ndarray) -> Model:
                 batch = [x[a : min(full, a + CORPUS_BATCH)] for x in held]
                 fit.step(*batch, RATES[1])
                 met[:] += np.bincount(batch[0][batch[1] >= 0], minlength=END + 1)
-            held = [x[full:] for x in held]
+            held = [x[full:].copy() for x in held]
 
         def close():
             steps(True)
@@ -591,7 +602,8 @@ def fit_corpus(made: DataFrame, model: Model, counts: np.ndarray) -> Model:
                     close()
                 fit, held, of, met = _Fit(model.p), None, number >> 32, np.zeros(END + 1)
             new = _windows(model, inner, layout, firsts)
-            held = list(new) if held is None else [np.concatenate(x) for x in zip(held, new)]
+            held = list(new) if held is None or not len(held[0]) else [np.concatenate(x) for x in zip(held, new)]
+            del new, layout, firsts
             steps(False)
         if fit:
             close()

@@ -64,6 +64,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _free() -> None:
+    """Gives back what making blocks has left in this process."""
+    release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 # ---- blocks and counts -------------------------------------------------------------------------------------------
 
 _BLOCK_SQL = "block long, doc_ids array<bigint>, train binary, lengths binary, words binary, digests binary, counts binary, sizes binary, ids binary"
@@ -126,6 +133,7 @@ def word_totals(made: DataFrame) -> tuple[DataFrame, Totals]:
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), made.count())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _free()
         edges = ((np.arange(1, slices, dtype=object) << 64) // slices).astype(np.uint64)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -508,9 +516,7 @@ def _summed(made: DataFrame, one, size: int) -> np.ndarray:
     spark = made.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        _free()
         out, part = one(_laid_out_training(batches)), TaskContext.get().partitionId()
         for i in range(0, size, PIECE):
             if out[i : i + PIECE].any():
@@ -631,7 +637,7 @@ def score(spark: SparkSession, docs: DataFrame, train_on: Column, tokenizer: str
     shared = spark.sparkContext.broadcast((fit_corpus(made, model, counts), totals))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        _free()
         model, totals = shared.value
         tables = model.tables()
         for batch in batches:

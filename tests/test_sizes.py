@@ -1,5 +1,6 @@
 """Tasks stay bounded as tables grow: pieces of inputs, arriving files, meetings of near duplicates."""
 
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -106,3 +107,29 @@ def test_repeated_entries_are_parsed_once(spark, monkeypatch):
     got = kb.kb_build(rows).drop("id")
     assert parsed[0] < rows.count() * 0.8
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def held(folder):
+    return sum(os.path.getsize(f"{top}/{name}") for top, _, names in os.walk(folder) for name in names)
+
+
+def test_rounds_write_every_message_once(spark, tmp_path, monkeypatch):
+    """What meets is named, not copied: the shared folder grew by all messages several times in every round."""
+    monkeypatch.setattr(neardup, "MAX_SEEDS", 16)
+    monkeypatch.setattr(neardup, "INDEX_BLOCK", 32)
+    monkeypatch.setattr(neardup, "SIDE_BLOCK", 32)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("etaoinshrdlu ", k=8000)) for _ in range(250)]
+    texts += [t + " and more" for t in texts[:20]]
+    df = spark.createDataFrame([(i, "A", t, "") for i, t in enumerate(texts)], "row_ord long, Exception_Type string, Exception_Message string, Error_Code string")
+    for module in (session, neardup):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path), raising=False)
+    usual = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        got = {(r.leader_ord, r.member_ord) for r in neardup.similar_pairs(df, seeds=16).collect()}
+    finally:
+        if usual:
+            spark.sparkContext.setCheckpointDir(usual)
+    assert got == {(i, 250 + i) for i in range(20)}
+    assert held(tmp_path) < 2.5 * sum(map(len, texts))  # it was 13 times

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import SPACE, let, once, strip
 from faultline.schemas import CODE_EXTENSIONS, SKIPPED_FOLDERS
-from faultline.session import spread
+from faultline.session import opened, qualified, saved, spread
 
 #: Most rows of a CSV file that is written.
 FILE_ROWS = 50_000
+#: Folders that a task lists, files and bytes that a task reads; names and bytes it hands on at a time.
+FOLDERS, FILES, PIECE_BYTES = 1000, 5000, 1 << 26
+LISTED, BATCH_BYTES = 10_000, 1 << 24
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
@@ -73,26 +81,113 @@ def scan_kb(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return scan_csv(spark, path, schema)
 
 
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's readers leave out."""
+    left_out = name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+    return left_out and not (folder and name.startswith(("_common_metadata", "_metadata")))
+
+
+def _list(root: str):
+    """What stands in each of the given folders below `root`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{base}/{folder}"))
+                for start in range(0, len(found), LISTED):
+                    rows = []
+                    for x in found[start : start + LISTED]:
+                        below = x.type == fs.FileType.Directory
+                        if (below or x.type == fs.FileType.File) and not _hidden(x.base_name, below) and not (below and x.base_name in SKIPPED_FOLDERS):
+                            rows.append((f"{folder}/{x.base_name}" if folder else x.base_name, below, (x.mtime_ns or 0) // 1_000_000, x.size or 0))
+                    columns = [list(c) for c in zip(*rows)] or [[]] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["file_path", "folder", "modified", "size"])
+
+    return run
+
+
+def _read(root: str):
+    """The named files below `root` with their content, a bounded number of bytes at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(root)
+
+        def batch_of(rows: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], ["file_path", "modified", "content"])
+
+        rows, held = [], 0
+        for batch in batches:
+            for path, modified in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_file(f"{base}/{path}") as file:
+                    content = file.read()
+                if rows and held + len(content) > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+                rows.append((path, modified, content))
+                held += len(content)
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
+def _wanted(file_path: Column) -> Column:
+    """Paths of source files that stand in no skipped folder."""
+    parts = F.split(file_path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    skip = F.array(*[F.lit(s) for s in SKIPPED_FOLDERS])
+    return F.lower(_extension(file_path)).isin(*CODE_EXTENSIONS) & ~F.arrays_overlap(folders, skip)
+
+
+def _extension(file_path: Column) -> Column:
+    return F.regexp_extract(file_path, r"[^/](\.[^./]+)$", 1)
+
+
+def _code_files(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, mtime, content) of the source files below the folder `root` (qualified).
+
+    Tasks list the folders, level by level, and read the files, both by their names in a table: no file passes the driver.
+    """
+    parallel = spark.sparkContext.defaultParallelism
+    folders, found = spark.range(1).select(F.lit("").alias("file_path")), []
+    while n := folders.count():
+        listed = saved(folders.repartition(min(n, max(parallel, -(-n // FOLDERS)))).mapInArrow(_list(root), "file_path string, folder boolean, modified bigint, size bigint"))
+        found.append(listed.filter(~F.col("folder") & _wanted(F.col("file_path"))))
+        folders = listed.filter("folder").select("file_path")
+    files = reduce(DataFrame.unionByName, found)
+    n, held = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    pieces = max(parallel, -(-n // FILES), -(-held // PIECE_BYTES))
+    rows = files.select("file_path", "modified").repartition(pieces).mapInArrow(_read(root), "file_path string, modified bigint, content binary")
+    return rows.select("file_path", (F.col("modified") / 1000.0).alias("mtime"), "content")
+
+
+def _listed_by_spark(spark: SparkSession, root: str) -> DataFrame:
+    """As `_code_files`, by Spark's own reader, whose driver holds all names: for stores that only Spark opens, and for patterns."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    named = files.withColumn("_plain", F.regexp_replace("path", "^[a-z]+:/*", "/")).withColumn("_base", F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/"))
+    named = named.withColumn("file_path", F.expr("substring(_plain, length(_base) + 2)"))
+    return named.filter(_wanted(F.col("file_path"))).select("file_path", F.col("modificationTime").cast("double").alias("mtime"), "content", "_plain")
+
+
 def scan_code(spark: SparkSession, root: str) -> DataFrame:
     """Source files under `root`: file_path (relative), full_path, file_extension, mtime, content.
 
     Bytes that are not UTF-8 are dropped, line ends become `\\n`, empty files are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*", "/")
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    relative = F.expr("substring(_plain, length(_base) + 2)")
-    named = files.withColumn("_plain", plain).withColumn("_base", base).withColumn("file_path", relative)
-    parts = F.split("file_path", "/")
-    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    extension = F.regexp_extract("file_path", r"[^/](\.[^./]+)$", 1)
-    skip = F.array(*[F.lit(s) for s in SKIPPED_FOLDERS])
-    kept = named.filter(F.lower(extension).isin(*CODE_EXTENSIONS) & ~F.arrays_overlap(folders, skip))
+    top = qualified(spark, root)
+    try:
+        store, base = opened(top)
+        in_tasks = store.get_file_info(base or "/").type == fs.FileType.Directory
+    except (OSError, pa.ArrowException):
+        in_tasks = False
+    if in_tasks:
+        base = F.regexp_replace(F.lit(top.rstrip("/")), "^[a-z]+:/*", "/")
+        kept = _code_files(spark, top).withColumn("_plain", F.concat_ws("/", F.rtrim(base, F.lit("/")), "file_path"))
+    else:
+        kept = _listed_by_spark(spark, root)
     text = F.regexp_replace(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")), "\r\n?", "\n")
     out = kept.select(
-        "file_path", F.col("_plain").alias("full_path"), extension.alias("file_extension"),
-        F.col("modificationTime").cast("double").alias("mtime"), text.alias("content"),
-    )
+        "file_path", F.col("_plain").alias("full_path"), _extension(F.col("file_path")).alias("file_extension"), "mtime", text.alias("content"))
     return out.filter(F.col("content").rlike(f"[^{SPACE[1:-1]}]"))
 
 

@@ -133,3 +133,25 @@ def test_rounds_write_every_message_once(spark, tmp_path, monkeypatch):
             spark.sparkContext.setCheckpointDir(usual)
     assert got == {(i, 250 + i) for i in range(20)}
     assert held(tmp_path) < 2.5 * sum(map(len, texts))  # it was 13 times
+
+
+def test_source_trees_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver never lists the files; folders are walked level by level, and a task reads a bounded number of files."""
+    monkeypatch.setattr(files, "FILES", 40)
+    monkeypatch.setattr(files, "LISTED", 16)
+    monkeypatch.setattr(files, "BATCH_BYTES", 64)
+    names = {f"src{i % 3}/en/x{i % 2}/doc_{i}.py": f"text {i}\r\nend" for i in range(300)}
+    odd = {"d e/sub%20x/f g.PY": "1", "k=v/_m=1/z.cs": "2", "_metadata/m.py": "3", "_metadata.py": "-", "__init__.py": "-", ".git/h.py": "-", "_private/p.py": "-", ".py": "-", "node_modules/n.py": "-", "d.py/t.txt": "-"}
+    for name, text in (names | odd).items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text, newline="")
+    (tmp_path / "linked.py").symlink_to(tmp_path / "src0/en/x0/doc_0.py")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    spark_side = files._listed_by_spark(spark, str(tmp_path)).select("file_path", "mtime", F.col("_plain").alias("full_path"))
+    rows = files.scan_code(spark, f"{tmp_path}/")
+    assert not rows._jdf.inputFiles() or all("saved-" in x for x in rows._jdf.inputFiles())  # tables of names; it was every file
+    got = rows.collect()
+    want = {k: v.replace("\r\n", "\n") for k, v in names.items()} | {k: v for k, v in odd.items() if v != "-"} | {"linked.py": "text 0\nend"}
+    assert {r.file_path: r.content for r in got} == want and len(got) == len(want)
+    assert sorted((r.file_path, r.mtime, r.full_path) for r in got) == sorted(map(tuple, spark_side.collect()))
+    assert max(piece_sizes(rows)) <= 60
